@@ -33,7 +33,7 @@ BANDS, ROWS, SHINGLE = 50, 5, 5
 PERCENT = 75
 #: Mixed buckets with at most so many classes are checked pair by pair; larger ones get PIVOT_ROUNDS more pivots first.
 SMALL_BUCKET, PIVOT_ROUNDS = 48, 3
-CACHE_SIZE = 1_000_000
+CACHE_SIZE = 200_000
 U64 = np.uint64
 UNSET = np.uint32(0xFFFFFFFF)
 

@@ -10,6 +10,7 @@ trained together by gradient descent on a bounded sample of labelled rows. Every
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -171,7 +172,8 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 
-_SCORERS: dict[int, Scorer] = {}
+#: This worker's scorer, by the model's name.
+_SCORERS: dict[str, Scorer] = {}
 
 
 def in_fold(id_col: str, folds: int = 5) -> F.Column:
@@ -197,13 +199,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def toxicity_scores(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The kept columns and score_col: 0 to 1, higher where a toxic label is likelier. No or empty text: the base rate."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.along, model.bias))
+    sent, name = docs.sparkSession.sparkContext.broadcast((model.along, model.bias)), uuid.uuid4().hex
 
     def start():
-        if sent.id not in _SCORERS:
+        if name not in _SCORERS:
             _SCORERS.clear()
-            _SCORERS[sent.id] = Scorer(Model.of(*sent.value))
-        scorer = _SCORERS[sent.id]
+            _SCORERS[name] = Scorer(Model.of(*sent.value))
+        scorer = _SCORERS[name]
         return lambda texts: [scorer.scores(texts).tolist()]
 
     return map_text(docs, text_col, keep, [(score_col, T.DoubleType())], start)
