@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -37,6 +38,22 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; a temporary one only where none is set, in local mode."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="lodefinder-")
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     spark = (
