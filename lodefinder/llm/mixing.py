@@ -1,12 +1,14 @@
 """Mixing documents to target weights of domains with soft membership, in DataFrame operations only.
 
-1. A labelled table names domains. A Bernoulli naive Bayes classifier is fitted on at most TRAIN_DOCS labelled
-   documents: its features are the FEATURES words (and shapes of the text: shares of capitals, of symbols and of
-   distinct words, in tenths) that tell most about the domain. It predicts each document's domain posteriors p_k.
+1. A labelled table names domains. A naive Bayes classifier is fitted on at most TRAIN_DOCS labelled documents: its
+   features are the FEATURES words and shapes of the text (shares of capitals, of symbols, of distinct words) that
+   tell most about the domain; the absence of those that few documents have counts too. It predicts each document's
+   domain posteriors p_k.
 2. Rates r_d >= 0 are fitted so that expected domain totals sum(r_d * tokens_d * p_dk) match target_k, by projected
-   gradient descent on least squares: starting from 1, r_d <- max(0, r_d - sum_k p_dk (total_k - target_k) / mass_k).
-   Distances are weighted by tokens and residuals by the domains' masses; so scaled, steps of 1 never overshoot. Each
-   step is one aggregation over all documents; the driver sees the domain totals only.
+   gradient descent on least squares: starting from 1, r_d <- max(0, r_d - sum_k p_dk g_k), where g = H^-1 (total -
+   target) and H_jk = sum(tokens_d p_dj p_dk). Distances between rates are weighted by tokens, and so scaled by H,
+   steps of 1 never overshoot, as the rates that are above 0 can only lessen H. Each step is one aggregation over all
+   documents; the driver sees the domain totals only.
 
 The steps' residuals are all a rate depends on besides its own posteriors, so rates are never stored or shuffled.
 """
@@ -15,16 +17,19 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodefinder.llm.common import fresh, staged
 
-TRAIN_DOCS, FEATURES, MIN_DOCS = 20_000, 256, 10
-STEPS, TOLERANCE = 40, 1e-4
+TRAIN_DOCS, FEATURES, MIN_DOCS = 10_000, 64, 10
+#: Features in at most this share of the documents also count where they lack.
+RARE = 0.25
+STEPS, TOLERANCE = 25, 1e-4
 DOMAINS = ("clean", "low", "toxic")
-TARGETS = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
+TARGETS = {"clean": 0.85, "low": 0.10, "toxic": 0.05}
 
 
 def label_domain() -> F.Column:
@@ -36,48 +41,55 @@ def words_of(text: F.Column) -> F.Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def shapes_of(text: F.Column, words: F.Column) -> F.Column:
-    """Features of the text's shape, such as '\\tcapitals=3'; no word holds a tab."""
-    size = F.greatest(F.length(text), F.lit(1))
-    capitals = F.length(F.regexp_replace(text, r"[^A-Z]+", "")) / size
-    symbols = F.length(F.regexp_replace(text, r"[^#*$%&|<>!]+", "")) / size
-    distinct = F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))
-    tenths = {"capitals": capitals, "symbols": symbols, "distinct": distinct}
-    return F.array(*(F.concat(F.lit(f"\t{n}="), F.floor(v * 10).cast("string")) for n, v in tenths.items()))
+def bound(value: F.Column, use) -> F.Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def features_of(text_col: str) -> F.Column:
+    """A text's words and its shapes, such as '\tcapitals=3'; no word holds a tab."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = words_of(F.lower(text))
-    return F.concat(words, shapes_of(text, words))
+    length = F.greatest(F.length(text), F.lit(1))
+    capitals = F.least(F.lit(20), F.floor(50 * F.regexp_count(text, F.lit("[A-Z]")) / length))
+    symbols = F.least(F.lit(9), F.floor(100 * F.regexp_count(text, F.lit("[#*$%&|<>!]")) / length))
+
+    def with_shapes(words: F.Column) -> F.Column:
+        distinct = F.floor(10 * F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1)))
+        shapes = {"capitals": capitals, "symbols": symbols, "distinct": distinct}
+        return F.concat(words, F.array(*(F.concat(F.lit(f"\t{n}="), v.cast("string")) for n, v in shapes.items())))
+
+    return bound(words_of(F.lower(text)), with_shapes)
 
 
 class Classifier:
-    """Bernoulli naive Bayes: per domain a constant and, for each feature, what its presence adds."""
+    """Naive Bayes on the presence of features: per domain its share, and how likely it holds each feature."""
 
     def __init__(self, domains: list[str], docs: dict[str, int], rows: list[tuple[str, dict[str, int]]]) -> None:
         self.domains = domains
         total = sum(docs.get(d, 0) for d in domains)
         self.words = [w for w, _ in rows]
-        self.start, self.weight = [], []
-        shares = [{d: (n.get(d, 0) + 0.5) / (docs.get(d, 0) + 1) for d in domains} for _, n in rows]
-        for d in domains:
-            self.start.append(math.log((docs.get(d, 0) + 0.5) / (total + 0.5 * len(domains))) + sum(math.log(1 - s[d]) for s in shares))
-        self.weight = [[math.log(s[d] / (1 - s[d])) for d in domains] for s in shares]
+        share = [[(n.get(d, 0) + 0.5) / (docs.get(d, 0) + 1) for d in domains] for _, n in rows]
+        rare = [sum(n.values()) <= RARE * total for _, n in rows]
+        lacks = [[math.log(1 - p) if r else 0.0 for p in ps] for ps, r in zip(share, rare, strict=True)]
+        self.start = [math.log((docs.get(d, 0) + 0.5) / (total + 0.5 * len(domains))) + sum(x[k] for x in lacks) for k, d in enumerate(domains)]
+        self.weight = [[math.log(p) - x for p, x in zip(ps, xs, strict=True)] for ps, xs in zip(share, lacks, strict=True)]
 
     def posteriors(self, features: F.Column) -> F.Column:
         """An array of one probability for each domain."""
         k = range(len(self.domains))
         start = F.array(*(F.lit(float(x)) for x in self.start))
+        scores = start
         if self.words:
             names = F.array(*(F.lit(w) for w in self.words))
             table = F.from_json(F.lit(str(self.weight)), T.ArrayType(T.ArrayType(T.DoubleType())))
             present = F.transform(F.array_intersect(names, features), lambda w: F.element_at(table, F.array_position(names, w).cast("int")))
             scores = F.aggregate(present, start, lambda a, w: F.array(*(a[i] + w[i] for i in k)))
-        else:
-            scores = start
-        powers = F.transform(scores, lambda x: F.exp(F.greatest(x - F.array_max(scores), F.lit(-700.0))))
-        return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
+
+        def shares(s: F.Column) -> F.Column:
+            powers = [F.exp(F.greatest(s[i] - F.array_max(s), F.lit(-700.0))) for i in k]
+            return bound(F.array(*powers), lambda p: F.transform(p, lambda x: x / sum((p[i] for i in k), F.lit(0.0))))
+
+        return bound(scores, shares)
 
 
 def fit(docs: DataFrame, labels: DataFrame, domain: F.Column, domains: list[str], id_col: str, text_col: str, train_docs: int) -> Classifier:
@@ -143,6 +155,10 @@ def mixed(
         row = table.agg(*(F.sum(F.col(tokens) * rate * F.col(p)[i]) for i in range(len(domains)))).first()
         return [x or 0.0 for x in row]
 
+    k = range(len(domains))
+    pairs = table.agg(*(F.sum(F.col(tokens) * F.col(p)[i] * F.col(p)[j]) for i in k for j in k)).first()
+    curve = np.array([x or 0.0 for x in pairs]).reshape(len(domains), -1)
+    curve += np.eye(len(domains)) * max(1e-9 * np.trace(curve), 1e-300)
     mass = totals(F.lit(1.0))
     budget = sum(mass)
     if anchor and targets[anchor[0]] > 0:
@@ -151,11 +167,11 @@ def mixed(
     wanted = [budget * targets[d] / share for d in domains]
     steps: list[list[float]] = []
     now = mass
-    while len(steps) < STEPS:
-        gap = [(n - w) / m if m > 1e-9 * max(budget, 1.0) else 0.0 for n, w, m in zip(now, wanted, mass, strict=True)]
-        if max((abs(g) for g in gap), default=0) <= TOLERANCE:
+    while len(steps) < STEPS and budget:
+        gap = np.array([n - w if m > 1e-9 * budget else 0.0 for n, w, m in zip(now, wanted, mass, strict=True)])
+        if abs(gap).max() <= TOLERANCE * budget:
             break
-        steps.append(gap)
+        steps.append([float(x) for x in np.linalg.solve(curve, gap)])
         now = totals(rate_of(F.col(p), steps))
     rate = rate_of(F.col(p), steps)
     out = table.withColumn(names["rate"], rate)

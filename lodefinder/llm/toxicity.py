@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 from lodefinder.llm.common import map_text
 
 #: Labelled rows that training may use at most (the smallest hashes of their ids).
-TRAIN_DOCS = 8_000
+TRAIN_DOCS = 6_000
 BUCKETS, DIM, GRAMS, WINDOW, MIN_DOCS = 1 << 18, 8, (3, 4, 5), 4, 20
 EPOCHS, BATCH, RATE, SLOW, GAIN = 6, 64, 0.5, 1e-5, 10.0
 CACHE_SIZE = 1_000_000
@@ -52,7 +53,14 @@ def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     flat, who = np.concatenate(found), np.concatenate(owners)
     order = np.argsort(who, kind="stable")
     flat, counts = flat[order], np.bincount(who, minlength=len(words))
-    return ((flat >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int64), np.cumsum(counts) - counts
+    return ((flat >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int32), np.cumsum(counts) - counts
+
+
+def grams_in_parts(words: list[str], size: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """grams_of, a part of the words at a time, to bound what it holds besides its result."""
+    parts = [grams_of(words[lo : lo + size]) for lo in range(0, len(words), size)]
+    starts = np.cumsum([0] + [len(g) for g, _ in parts])
+    return np.concatenate([g for g, _ in parts]), np.concatenate([f + s for (_, f), s in zip(parts, starts, strict=False)])
 
 
 class Model:
@@ -74,20 +82,21 @@ class Model:
         return np.add.reduceat(self.along[grams], first) / counts
 
 
-def train(texts: list[list[str]], labels: np.ndarray, seed: int = 7) -> Model:
-    """texts: the words of each text. One class only, or no rows: every text gets the share of toxic labels."""
+def train(texts: Iterable[list[str]], labels: np.ndarray, seed: int = 7) -> Model:
+    """texts: the words of each text, taken one by one. One class only, or no rows: every text gets the share of toxic labels."""
     rng = np.random.default_rng(seed)
     vectors = ((rng.random((BUCKETS, DIM)) - 0.5) * 0.02).astype(np.float32)
     weights, bias = np.zeros((DIM, 2), dtype=np.float32), np.zeros(2, dtype=np.float32)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     bias[1] = np.log(share / (1 - share))
     vocab: dict[str, int] = {}
-    docs = [np.array([vocab.setdefault(w, len(vocab)) for w in x], dtype=np.int64) for x in texts]
+    docs = [np.array([vocab.setdefault(w, len(vocab)) for w in x], dtype=np.int32) for x in texts]
     if not vocab or labels.min() == labels.max():
         return Model(vectors, weights, bias)
     weights[:, 1] = 0.5
     weights[:, 0] = -0.5
-    grams, first = grams_of(list(vocab))
+    grams, first = grams_in_parts(list(vocab))
+    del vocab
     size = np.diff(np.append(first, len(grams)))
     # n-grams in fewer than MIN_DOCS training texts keep a zero vector: they would only learn those texts by heart
     seen = np.zeros(BUCKETS, dtype=np.int32)
@@ -191,10 +200,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
 
     def start():
-        return lambda texts: [[words_of(x) for x in texts]]
+        return lambda texts: [[" ".join(words_of(x)) for x in texts]]
 
-    table = map_text(rows, text_col, [id_col, "__label"], [("__words", T.ArrayType(T.StringType()))], start).orderBy(F.xxhash64(id_col), id_col).limit(train_docs).toPandas()
-    return train(table["__words"].tolist(), table["__label"].to_numpy(dtype=np.float32))
+    table = map_text(rows, text_col, [id_col, "__label"], [("__words", T.StringType())], start).orderBy(F.xxhash64(id_col), id_col).limit(train_docs).toPandas()
+    return train((x.split(" ") if x else [] for x in table["__words"]), table["__label"].to_numpy(dtype=np.float32))
 
 
 def toxicity_scores(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
