@@ -7,11 +7,12 @@
 2. Classes that share a band's bucket are candidates. In each bucket every class is paired with one pivot, not with
    every other, so pairs grow with the rows of a bucket and not with their square. Pairs are verified on full sets.
 3. Links are grouped by union-find within partitions and by star contraction across them. What matters is the
-   grouping, so a bucket whose classes now lie in one group is done. In the others ("mixed") further pivots follow,
-   and where few classes are left, or pivots bring nothing more, all pairs of different groups are verified. No
-   pair that shares a bucket goes unchecked, unless its classes are in one group already or too far apart: pairs
-   whose sizes rule out the similarity are left out, and those that differ in more than FAR of the lowest bits of
-   their signatures' slots, six standard deviations above what a pair of similarity 0.75 differs in.
+   grouping, so a bucket whose classes now lie in one group is done. Of the others ("mixed"), small ones are checked
+   pair by pair and large ones get further pivots; what is still mixed then is settled by shared rare shingles, which
+   any two sets that are similar enough must have. No pair that shares a bucket goes unchecked, unless its classes
+   are in one group already or too far apart: pairs whose sizes rule out the similarity are left out, and those that
+   differ in more than FAR of the lowest bits of their signatures' slots, six standard deviations above what a pair
+   of similarity 0.75 differs in.
 
 With BANDS bands of ROWS slots two sets of similarity 0.75 share no bucket with a probability of 1.3e-6.
 Shingles are compared by 64-bit hashes.
@@ -33,7 +34,7 @@ from lodefinder.llm.common import map_text, staged
 BANDS, ROWS, SHINGLE = 50, 5, 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Mixed buckets with at most so many classes are checked pair by pair; larger ones get PIVOT_ROUNDS more pivots first.
+#: Mixed buckets with at most so many classes are checked pair by pair; larger ones get PIVOT_ROUNDS more pivots, then shared rare shingles.
 SMALL_BUCKET, PIVOT_ROUNDS = 48, 3
 #: At similarity 0.75 an eighth of the bits differ, of 250 bits 31 with a deviation of 5.2.
 FAR = 63
@@ -213,6 +214,16 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
 
 
+def one_each(found: DataFrame) -> DataFrame:
+    """Of the candidates (rep, pivot_rep) of a round one pair (a, b) for each rep, that with the smallest pivot.
+
+    Mostly it links rep to its group, and then the rep's other candidates are settled without a look at their sets;
+    where it does not, their buckets stay mixed and come up again.
+    """
+    chosen = found.groupBy("rep").agg(F.min("pivot_rep").alias("pivot_rep"))
+    return chosen.select(F.least("rep", "pivot_rep").alias("a"), F.greatest("rep", "pivot_rep").alias("b")).distinct()
+
+
 def links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
@@ -221,6 +232,25 @@ def links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
 
 
+def prefix_pairs(rows: DataFrame, sets: DataFrame, percent: int, near: F.Column, marks: list[str]) -> DataFrame:
+    """Pairs (a, b) of rows (id, component, marks) of different components whose sets may be similar enough.
+
+    Each set is put in order, rarest shingles first. Two sets that are similar enough have their first common shingle
+    so early in both that those from there on suffice for the overlap; pairs meet at such shingles only. So sets that
+    differ in shingles of their own, as edited copies of one text do, do not meet at the many that they share.
+    """
+    shingles = staged(rows.join(sets, "id").select("id", "component", *marks, F.size("set").alias("total"), F.explode("set").alias("s")), "shingles")
+    often = shingles.groupBy("s").agg(F.count("*").alias("df"), (F.min("component") < F.max("component")).alias("meets"))
+    ordered = shingles.join(often, "s").groupBy("id", "component", "total", *marks).agg(F.array_sort(F.collect_list(F.struct("df", "s", "meets"))).alias("list"))
+    least = F.ceil(F.col("total") * percent / 100).cast("int")
+    first = ordered.select("id", "component", "total", *marks, F.posexplode(F.slice("list", F.lit(1), F.col("total") - least + 1)).alias("at", "x")).filter("x.meets")
+    first = first.select("id", "component", *marks, F.col("x.s").alias("s"), (F.col("total") - F.col("at")).alias("rest"), "total")
+    other = first.select(*(F.col(c).alias(f"other_{c}") for c in first.columns))
+    enough = (100 + percent) * F.least("rest", "other_rest") >= percent * (F.col("total") + F.col("other_total"))
+    met = first.join(other, (F.col("s") == F.col("other_s")) & (F.col("id") < F.col("other_id")) & (F.col("component") != F.col("other_component")) & enough & near)
+    return met.select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of docs.
 
@@ -249,7 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     pivots = renamed(shared.filter("rep = pivot"), "pivot_").dropDuplicates(["bucket"]).withColumnRenamed("bucket", "p_bucket")
     others = shared.filter("rep <> pivot")
-    pairs = others.join(pivots, (F.col("bucket") == F.col("p_bucket")) & near("pivot_")).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = one_each(others.join(pivots, (F.col("bucket") == F.col("p_bucket")) & near("pivot_")).select("rep", F.col("pivot").alias("pivot_rep")))
 
     asked = shared.select(F.col("rep").alias("id")).distinct()
 
@@ -266,28 +296,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = named.groupBy("id").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x <> y").select("id").limit(1)
     if repeated.count():
         links = staged(links.unionByName(members).distinct(), "links")
-    for step in range(PIVOT_ROUNDS + 1):
-        groups = components(links)
+    step, groups = 0, components(links)
+    while step <= PIVOT_ROUNDS:
         held = shared.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "rep", "size", F.coalesce("component", "rep").alias("component"), *marks)
         mixed = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("rep", F.lit(step)), "rep", "component", *marks)).alias("p"))
         mixed = mixed.filter("low < high").select("bucket", *(F.col(f"p.{c}").alias(f"pivot_{c}") for c in ("rep", "component", *marks)))
         open_rows = staged(held.join(mixed, "bucket"), "mixed")
-        last = step == PIVOT_ROUNDS
-        ordered = [F.least("rep", "pivot_rep").alias("a"), F.greatest("rep", "pivot_rep").alias("b")]
-        more = open_rows.filter(F.col("size") > SMALL_BUCKET).filter("component <> pivot_component").filter(near("pivot_")).select(*ordered).distinct()
-        if step == 0 or last:
-            left = (open_rows if last else open_rows.filter(F.col("size") <= SMALL_BUCKET)).select("bucket", "rep", "component", *marks)
+        large = open_rows.filter(F.col("size") > SMALL_BUCKET)
+        if step > 0 and large.isEmpty():
+            break
+        if step == PIVOT_ROUNDS:
+            more = prefix_pairs(large.select(F.col("rep").alias("id"), "component", *marks).distinct(), sets, percent, near("other_"), marks)
+        else:
+            more = one_each(large.filter("component <> pivot_component").filter(near("pivot_")))
+        if step == 0:
+            left = open_rows.filter(F.col("size") <= SMALL_BUCKET).select("bucket", "rep", "component", *marks)
             right = renamed(left, "other_", "rep", "component").withColumnRenamed("bucket", "o_bucket")
             cross = left.join(right, (F.col("bucket") == F.col("o_bucket")) & (F.col("rep") < F.col("other_rep")) & (F.col("component") != F.col("other_component")) & near("other_"))
             more = more.union(cross.select(F.col("rep").alias("a"), F.col("other_rep").alias("b"))).distinct()
-        more = staged(more, "pairs")
-        if more.isEmpty():
-            break
-        found = staged(links_of(more, sets, percent), "links")
-        if found.isEmpty() and last:
-            break
-        links = staged(groups.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(found), "links")
-    groups = components(links)
+        found = staged(links_of(staged(more, "pairs"), sets, percent), "links")
+        if found.isEmpty():
+            step = max(step + 1, PIVOT_ROUNDS)  # more pivots would find no more
+            continue
+        groups = components(groups.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
+        step += 1
     named_groups = classes.select("key", "rep").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = base.select("id", "n_shingles", "key").join(named_groups, "key", "left")
     component = F.coalesce("component", "id")
