@@ -136,8 +136,8 @@ def mixed(
 ) -> DataFrame:
     """The kept columns, n_tokens, p_<domain> for each domain, rate, copies.
 
-    targets: each domain's share of the budget, which is the sum of all tokens or, with anchor (domain, factor), what
-    gives that domain factor times its present tokens. copies: how often to take the document, rate rounded up or
+    targets: each domain's share of the budget, which is the sum of all tokens. anchor (domain, factor) scales all rates
+    so that a document which surely belongs to that domain gets the rate factor; shares stay as they are. copies: how often to take the document, rate rounded up or
     down by a hash of its id and text, so that its mean is the rate. A null text has no tokens and the posteriors of
     an empty one. A domain without any mass cannot meet its target and is left alone; no labels: equal posteriors.
     """
@@ -161,8 +161,6 @@ def mixed(
     curve += np.eye(len(domains)) * max(1e-9 * np.trace(curve), 1e-300)
     mass = totals(F.lit(1.0))
     budget = sum(mass)
-    if anchor and targets[anchor[0]] > 0:
-        budget = mass[domains.index(anchor[0])] * anchor[1] / targets[anchor[0]]
     share = sum(targets.values())
     wanted = [budget * targets[d] / share for d in domains]
     steps: list[list[float]] = []
@@ -173,7 +171,13 @@ def mixed(
             break
         steps.append([float(x) for x in np.linalg.solve(curve, gap)])
         now = totals(rate_of(F.col(p), steps))
-    rate = rate_of(F.col(p), steps)
+    scale = 1.0
+    if anchor:
+        pure = 1.0
+        for g in steps:
+            pure = max(0.0, pure - g[domains.index(anchor[0])])
+        scale = anchor[1] / pure if pure > 0 else 1.0
+    rate = rate_of(F.col(p), steps) * scale
     out = table.withColumn(names["rate"], rate)
     copies = F.floor(F.col(names["rate"])) + (F.col(coin) < F.col(names["rate"]) - F.floor(names["rate"])).cast("long")
     return out.select(*keep, F.col(tokens).alias(names["n_tokens"]), *(F.col(p)[i].alias(names[f"p_{d}"]) for i, d in enumerate(domains)), names["rate"], copies.cast("long").alias(names["copies"]))
