@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodefinder.llm import dedup, mixing, quality, toxicity, wfst
 from lodefinder.llm.common import fresh, read_table, staged
 
-#: Shares of tokens after mixing. The clean domain keeps a little over its tokens, so that its documents stay.
+#: Shares of tokens after mixing, and the rate of surely clean documents: a little over 1, so that they stay.
 TARGETS, ANCHOR = {"clean": 0.95, "low": 0.05}, ("clean", 1.1)
 
 
