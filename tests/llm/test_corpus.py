@@ -163,6 +163,25 @@ def test_depleted_documents_go(spark):
     assert not any(got[100 + i].kept for i in range(30)) and not got[100].base_failed
 
 
+def test_edited_copies_are_no_boilerplate(spark):
+    letters = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    text = [[f"w{letters(j)}x{letters(k)}" for k in range(20)] for j in range(12)]
+    rows = []
+    for i in range(300):  # one word replaced in each copy, so all sets of lines differ
+        copy = [list(line) for line in text]
+        copy[i % 12][(i // 12) % 20] = f"edit{letters(i)}"
+        rows.append((i, "\n".join(map(" ".join, copy)), "a"))
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["doc_id"]).collect()
+    assert len(got) == 300 and all(r.kept and r.n_line_words == 0 for r in got)
+
+
+def test_equal_lines_and_near_copies_are_one_class(spark):
+    words = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    rows = [(0, words + " one", 1), (1, words + " two", 2), (2, "other words", 2), (3, "text of its own", 4)]  # 0 and 1 are near, 1 and 2 have one content
+    got = {r.row: r["class"] for r in quality.copies_of(spark.createDataFrame(rows, "row long, text string, content long")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3}
+
+
 def test_quality_of_odd_documents(spark):
     got = quality.quality(odd_docs(spark), ["doc_id"]).collect()
     assert len(got) == len(ROWS) and all(r.base_failed and not r.kept for r in got)
