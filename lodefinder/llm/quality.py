@@ -3,8 +3,8 @@
 A line is normalised (A-Z lower-cased, digits to 0, runs of white space to one space) and hashed. For each source
 (the host of a document) and line, the distinct documents that hold it are counted, over all documents; documents
 with the same set of lines and near-duplicates are copies and count once, else a copied text would make boilerplate of
-itself. Lines in more than LINE_DOCS distinct documents of their source, and in more than LINE_SHARE of its documents, are boilerplate
-and are removed; a document whose remaining words are fewer than LEFT_WORDS, or less than LEFT_SHARE of its words, is
+itself. Lines in more than LINE_DOCS distinct documents of their source, however large it is, are boilerplate and are
+removed; a document whose remaining words are fewer than LEFT_WORDS, or less than LEFT_SHARE of its words, is
 depleted.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from lodefinder.llm import dedup
 from lodefinder.llm.common import fresh, map_text, staged
 
+#: LINE_SHARE is read by the SQL only: the limit on distinct documents does not grow with a source.
 LINE_DOCS, LINE_SHARE, LEFT_WORDS, LEFT_SHARE = 20, 0.001, 20, 0.3
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -119,16 +120,12 @@ def quality(docs: DataFrame, keep: list[str], text_col: str = "text", source_col
     content = F.xxhash64(F.array_sort(lines)).alias("content")
     long = base.select(F.col(row).alias("row"), F.col(source).alias("source"), content, F.explode(F.arrays_zip(F.col(lines).alias("line"), F.col(counts).alias("words"))).alias("x"))
     long = long.select("row", "source", "content", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
-    sizes = base.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("docs"))
     # classes merge contents, so only lines with enough contents can have enough classes
     often = staged(long.select("source", "line", "content").distinct().groupBy("source", "line").agg(F.count("*").alias("n")).filter(F.col("n") > LINE_DOCS).select("source", "line"), "lines")
     if not often.isEmpty():
         copies = copies_of(base.select(F.col(row).alias("row"), F.col(text).alias("text"), content))
         held = long.join(often, ["source", "line"]).select("row", "source", "line").join(copies, "row").select("source", "line", "class").distinct()
-        often = held.groupBy("source", "line").agg(F.count("*").alias("n")).filter(F.col("n") > LINE_DOCS)
-    else:
-        often = often.withColumn("n", F.lit(0).cast("long"))
-    often = often.join(sizes, "source").filter(F.col("n") > LINE_SHARE * F.col("docs")).select("source", "line")
+        often = held.groupBy("source", "line").agg(F.count("*").alias("n")).filter(F.col("n") > LINE_DOCS).select("source", "line")
     removed = long.join(often, ["source", "line"]).groupBy(F.col("row").alias(row)).agg(F.sum("words").alias(names["n_line_words"]))
     out = base.drop(source, lines, counts, whole).join(removed, row, "left")
     n, gone, repeated = F.col(names["n_words"]), F.coalesce(names["n_line_words"], F.lit(0)).cast("long"), F.col(names["n_repeat_words"])

@@ -175,6 +175,16 @@ def test_edited_copies_are_no_boilerplate(spark):
     assert len(got) == 300 and all(r.kept and r.n_line_words == 0 for r in got)
 
 
+def test_boilerplate_does_not_depend_on_the_size_of_a_source(spark):
+    letters = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    menu = " ".join(f"menu{letters(k)}" for k in range(30))
+    rows = [(i, f"{menu}\n" + " ".join(f"w{letters(i)}x{letters(k)}" for k in range(60)), "a") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    rest = spark.range(1000, 32_000).selectExpr("id AS doc_id", "string(NULL) AS text", "'a' AS source")
+    got = quality.quality(docs.union(rest), ["doc_id"]).filter("doc_id < 30").collect()
+    assert [r.n_line_words for r in got] == [30] * 30
+
+
 def test_equal_lines_and_near_copies_are_one_class(spark):
     words = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
     rows = [(0, words + " one", 1), (1, words + " two", 2), (2, "other words", 2), (3, "text of its own", 4)]  # 0 and 1 are near, 1 and 2 have one content
