@@ -233,13 +233,14 @@ def links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def prefix_pairs(rows: DataFrame, sets: DataFrame, percent: int, near: F.Column, marks: list[str]) -> DataFrame:
-    """Pairs (a, b) of rows (id, component, marks) of different components whose sets may be similar enough.
+    """Pairs (a, b) of rows (id, component, marks with the text's variant) of different components whose sets may be similar enough.
 
     Each set is put in order, rarest shingles first. Two sets that are similar enough have their first common shingle
     so early in both that those from there on suffice for the overlap; pairs meet at such shingles only. So sets that
     differ in shingles of their own, as edited copies of one text do, do not meet at the many that they share.
     """
-    shingles = staged(rows.join(sets, "id").select("id", "component", *marks, F.size("set").alias("total"), F.explode("set").alias("s")), "shingles")
+    own = rows.join(sets, ["id", "variant"]).dropDuplicates(["id", "component", *marks])
+    shingles = staged(own.select("id", "component", *marks, F.size("set").alias("total"), F.explode("set").alias("s")), "shingles")
     often = shingles.groupBy("s").agg(F.count("*").alias("df"), (F.min("component") < F.max("component")).alias("meets"))
     ordered = shingles.join(often, "s").groupBy("id", "component", "total", *marks).agg(F.array_sort(F.collect_list(F.struct("df", "s", "meets"))).alias("list"))
     least = F.ceil(F.col("total") * percent / 100).cast("int")
@@ -262,12 +263,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = base.filter("id IS NOT NULL AND key IS NOT NULL")
     classes = named.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
     reps = named.join(classes.select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi")
-    rows = staged(reps.select(F.explode("bands").alias("bucket"), F.col("id").alias("rep"), F.col("n_shingles").cast("int").alias("n")), "buckets")
+    # the texts of one id are variants with bits of their own, of one node
+    variant = F.xxhash64("key").alias("variant")
+    rows = staged(reps.select(F.explode("bands").alias("bucket"), F.col("id").alias("rep"), F.col("n_shingles").cast("int").alias("n"), variant), "buckets")
     ranges = rows.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last"), F.count("*").alias("size")).filter("pivot < last")
     words = -(-BANDS * ROWS // 64)
-    bits = reps.select(F.col("id").alias("rep"), *(F.col("bits")[i].alias(f"bits{i}") for i in range(words))).dropDuplicates(["rep"])
-    shared = staged(rows.join(ranges.select("bucket", "pivot", "size"), "bucket").join(bits, "rep"), "shared")
-    marks = ["n", *(f"bits{i}" for i in range(words))]
+    bits = reps.select(F.col("id").alias("rep"), variant, *(F.col("bits")[i].alias(f"bits{i}") for i in range(words))).dropDuplicates(["rep", "variant"])
+    shared = staged(rows.join(ranges.select("bucket", "pivot", "size"), "bucket").join(bits, ["rep", "variant"]), "shared")
+    marks = ["n", "variant", *(f"bits{i}" for i in range(words))]
 
     def near(other: str) -> F.Column:
         """What a pair must meet to be verified, by the columns of one and those of the other, which begin with other."""
@@ -284,10 +287,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     asked = shared.select(F.col("rep").alias("id")).distinct()
 
     def start():
-        return lambda texts: [[shingle_set(x).view(np.int64) for x in texts]]
+        def compute(texts):
+            found = [shingle_set(x) for x in texts]
+            return [[xxhash.xxh3_128_digest(s.tobytes()) for s in found], [s.view(np.int64) for s in found]]
+
+        return compute
 
     wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(asked, "id", "left_semi")
-    sets = staged(map_text(wanted, "text", ["id"], [("set", T.ArrayType(T.LongType()))], start), "sets")
+    sets = staged(map_text(wanted, "text", ["id"], [("key", T.BinaryType()), ("set", T.ArrayType(T.LongType()))], start).select("id", variant, "set"), "sets")
 
     # rows with one id but different texts are one node: nothing to link, as their classes carry the same name
     links = staged(links_of(pairs, sets, percent), "links")

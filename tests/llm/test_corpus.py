@@ -70,6 +70,18 @@ def test_groups_against_brute_force(spark, monkeypatch, small):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("small", [48, 1])
+def test_every_text_of_a_repeated_id_has_its_links(spark, monkeypatch, small):
+    monkeypatch.setattr(dedup, "SMALL_BUCKET", small)
+    rng = np.random.default_rng(3)
+    texts = [[f"w{x}" for x in rng.integers(0, 10**6, 120)] for _ in range(9)]
+    near = lambda k, i: " ".join([*texts[k][:-1], f"x{k}y{i}"])
+    rows = [(i, near(i + k, i)) for i in range(8) for k in range(2)]  # each id has a text near one of the next id
+    rows += [(0, near(0, 0))] * 3 + [(20, near(0, 20)), (21, near(8, 21)), (22, "a text without links")]
+    got = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict.fromkeys([*range(8), 20, 21], 0) | {22: 22} and len(got) == len(rows)
+
+
 def test_groups_of_odd_documents(spark):
     got = dedup.near_duplicates(odd_docs(spark)).collect()
     assert len(got) == len(ROWS)
