@@ -7,12 +7,15 @@
 2. Classes that share a band's bucket are candidates. In each bucket every class is paired with one pivot, not with
    every other, so pairs grow with the rows of a bucket and not with their square. Pairs are verified on full sets.
 3. Links are grouped by union-find within partitions and by star contraction across them. What matters is the
-   grouping, so a bucket whose classes now lie in one group is done. Of the others ("mixed"), small ones are checked
-   pair by pair and large ones get further pivots; what is still mixed then is settled by shared rare shingles, which
-   any two sets that are similar enough must have. No pair that shares a bucket goes unchecked, unless its classes
-   are in one group already or too far apart: pairs whose sizes rule out the similarity are left out, and those that
-   differ in more than FAR of the lowest bits of their signatures' slots, six standard deviations above what a pair
-   of similarity 0.75 differs in.
+   grouping, so a bucket whose classes now lie in one group is done. The others ("mixed") get further pivots while
+   these find links.
+4. What is still mixed is settled in tasks: the rows of a bucket that are not of its largest group meet all its rows,
+   block by block, so no task holds more than two blocks of signatures and sets. A pair of different groups is
+   verified in the first bucket that it shares, so once, if its sizes and signatures allow the similarity. Only links
+   leave the task, one for each row and group at most, so what is made grows with the rows. No pair that shares a bucket goes unchecked, unless its classes are in one group already or too far
+   apart: pairs whose sizes rule out the similarity are left out, and those whose signatures differ by six standard
+   deviations more than a pair of similarity 0.75 does (1 in 10^9 by the binomial distribution; SuperMinHash varies
+   less): in more than FAR of the lowest bits, or agree in less than AGREE of the low bytes of all slots.
 
 With BANDS bands of ROWS slots two sets of similarity 0.75 share no bucket with a probability of 1.3e-6.
 Shingles are compared by 64-bit hashes.
@@ -29,15 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodefinder.llm.common import map_text, staged
+from lodefinder.llm.common import map_text, staged, tune
 
 BANDS, ROWS, SHINGLE = 50, 5, 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Mixed buckets with at most so many classes are checked pair by pair; larger ones get PIVOT_ROUNDS more pivots, then shared rare shingles.
-SMALL_BUCKET, PIVOT_ROUNDS = 48, 3
-#: At similarity 0.75 an eighth of the bits differ, of 250 bits 31 with a deviation of 5.2.
-FAR = 63
+#: Rounds of further pivots at most, and rows and shingles of a block of a bucket that is still mixed then. None changes the groups.
+PIVOT_ROUNDS, BLOCK, BLOCK_SHINGLES = 3, 1024, 1 << 19
+#: At similarity 0.75 an eighth of 250 bits differ, 31 with a deviation of 5.2; of 250 slots 188 agree, with one of 6.9.
+FAR, AGREE = 63, 146
 CACHE_SIZE = 200_000
 U64 = np.uint64
 UNSET = np.uint32(0xFFFFFFFF)
@@ -136,26 +139,31 @@ def bits_of(signatures: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, key, bands, bits): key is a 128-bit hash of the set, null for an empty one, which has no bands."""
+    """(id, n_shingles, key, bands, bits, slots): key is a 128-bit hash of the set, null for an empty one, which has no bands.
+
+    bits are the lowest bits of the signature's slots, slots their lowest bytes.
+    """
 
     def start():
         def compute(texts):
-            n, keys, flat, ends, bits = [], [], [], [0], []
+            n, keys, flat, ends, bits, slots = [], [], [], [0], [], []
             for lo in range(0, len(texts), 250):
                 sets = [shingle_set(x) for x in texts[lo : lo + 250]]
                 signatures = super_minhash(sets)
                 made = bands_of(signatures)
                 bits += list(bits_of(signatures))
+                slots += [x.tobytes() for x in signatures.astype(np.uint8)]
                 n += [len(s) for s in sets]
                 keys += [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 full = np.array([len(s) > 0 for s in sets], dtype=bool)
                 flat.append(made[full].ravel())
                 ends += list(ends[-1] + np.cumsum(full) * BANDS)
-            return [n, keys, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int64())), bits]
+            return [n, keys, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int64())), bits, slots]
 
         return compute
 
-    return map_text(docs, text_col, [id_col], [("n_shingles", T.LongType()), ("key", T.BinaryType()), ("bands", T.ArrayType(T.LongType())), ("bits", T.ArrayType(T.LongType()))], start)
+    longs = T.ArrayType(T.LongType())
+    return map_text(docs, text_col, [id_col], [("n_shingles", T.LongType()), ("key", T.BinaryType()), ("bands", longs), ("bits", longs), ("slots", T.BinaryType())], start)
 
 
 def contract(edges: DataFrame) -> DataFrame:
@@ -232,24 +240,98 @@ def links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
 
 
-def prefix_pairs(rows: DataFrame, sets: DataFrame, percent: int, near: F.Column, marks: list[str]) -> DataFrame:
-    """Pairs (a, b) of rows (id, component, marks with the text's variant) of different components whose sets may be similar enough.
+def links_in_block(rest: dict[str, np.ndarray], rows: dict[str, np.ndarray], band: int, percent: int) -> list[tuple[int, int]]:
+    """Links of rows of rest with rows of other groups, verified where this band's bucket is the pair's first common one.
 
-    Each set is put in order, rarest shingles first. Two sets that are similar enough have their first common shingle
-    so early in both that those from there on suffice for the overlap; pairs meet at such shingles only. So sets that
-    differ in shingles of their own, as edited copies of one text do, do not meet at the many that they share.
+    rows: their sets lie in a row in "flat", from "first" on, "n" shingles each. One link for each row and group.
     """
-    own = rows.join(sets, ["id", "variant"]).dropDuplicates(["id", "component", *marks])
-    shingles = staged(own.select("id", "component", *marks, F.size("set").alias("total"), F.explode("set").alias("s")), "shingles")
-    often = shingles.groupBy("s").agg(F.count("*").alias("df"), (F.min("component") < F.max("component")).alias("meets"))
-    ordered = shingles.join(often, "s").groupBy("id", "component", "total", *marks).agg(F.array_sort(F.collect_list(F.struct("df", "s", "meets"))).alias("list"))
-    least = F.ceil(F.col("total") * percent / 100).cast("int")
-    first = ordered.select("id", "component", "total", *marks, F.posexplode(F.slice("list", F.lit(1), F.col("total") - least + 1)).alias("at", "x")).filter("x.meets")
-    first = first.select("id", "component", *marks, F.col("x.s").alias("s"), (F.col("total") - F.col("at")).alias("rest"), "total")
-    other = first.select(*(F.col(c).alias(f"other_{c}") for c in first.columns))
-    enough = (100 + percent) * F.least("rest", "other_rest") >= percent * (F.col("total") + F.col("other_total"))
-    met = first.join(other, (F.col("s") == F.col("other_s")) & (F.col("id") < F.col("other_id")) & (F.col("component") != F.col("other_component")) & enough & near)
-    return met.select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()
+    found = []
+    for lo in range(0, len(rest["rep"]), 64):
+        x = {k: v[lo : lo + 64] for k, v in rest.items() if k != "flat"}
+        n, m = x["n"][:, None], rows["n"][None, :]
+        may = (x["component"][:, None] != rows["component"][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        may &= ~rows["rest"][None, :] | (x["rep"][:, None] < rows["rep"][None, :])  # two of the rest meet twice
+        for i in np.flatnonzero(may.any(axis=1)):
+            j = np.flatnonzero(may[i])
+            j = j[np.bitwise_count(x["bits"][i] ^ rows["bits"][j]).sum(axis=1, dtype=np.int32) <= FAR]
+            j = j[(x["slots"][i] == rows["slots"][j]).sum(axis=1, dtype=np.int32) >= AGREE]
+            j = j[np.argmax(x["bands"][i] == rows["bands"][j], axis=1) == band]
+            own = rest["flat"][x["first"][i] : x["first"][i] + x["n"][i]]
+            linked: set[int] = set()
+            for part in np.array_split(j, -(-int(rows["n"][j].sum()) // 1_000_000) or 1):
+                if not len(part):
+                    continue
+                size = rows["n"][part]
+                begin = np.cumsum(size) - size
+                theirs = rows["flat"][np.arange(size.sum()) + np.repeat(rows["first"][part] - begin, size)]
+                at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+                common = np.add.reduceat((own[at] == theirs).astype(np.int64), begin)
+                for q in part[100 * common >= percent * (len(own) + size - common)]:
+                    if (group := int(rows["component"][q])) not in linked:
+                        linked.add(group)
+                        found.append((int(x["rep"][i]), int(rows["rep"][q])))
+    return found
+
+
+def links_of_mixed(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among rows (bucket, band, rep, component, n, variant, slots, bands, set) of mixed buckets, verified."""
+    sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.sum("n").alias("n")).groupBy("bucket")
+    sizes = sizes.agg(F.max_by("component", F.struct("k", "component")).alias("home"), F.sum("k").alias("all_k"), F.sum("n").alias("all_n"), F.max(F.struct("k", "component", "n")).alias("h"))
+    blocks = lambda k, n: F.greatest(F.ceil(k / BLOCK), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    sizes = sizes.select("bucket", "home", blocks(F.col("all_k"), F.col("all_n")).alias("blocks"), blocks(F.col("all_k") - F.col("h.k"), F.col("all_n") - F.col("h.n")).alias("rest_blocks"))
+    dealt = rows.join(sizes.filter("rest_blocks > 0"), "bucket").withColumn("rest", F.col("component") != F.col("home")).withColumn("deal", F.xxhash64("rep", "variant"))
+    row_of, column_of = F.pmod("deal", "rest_blocks").cast("int"), F.pmod("deal", "blocks").cast("int")
+
+    def place(asks: bool, i: F.Column, j: F.Column) -> F.Column:
+        return F.struct(F.lit(asks).alias("asks"), i.alias("i"), j.alias("j"))
+
+    asking = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: place(True, row_of, j))
+    asked = F.transform(F.sequence(F.lit(0), F.col("rest_blocks") - 1), lambda i: place(False, i, column_of))
+    dealt = dealt.withColumn("place", F.explode(F.when(F.col("rest"), F.concat(asking, asked)).otherwise(asked)))
+    names = ["bucket", "i", "j", "asks", "rest", "band", "rep", "component", "n", "slots", "bands", "set"]
+    dealt = dealt.select("bucket", "place.i", "place.j", "place.asks", *names[4:]).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    def columns(table: pa.Table) -> dict[str, np.ndarray]:
+        got = {c: table.column(c).to_numpy() for c in ("rep", "component", "n", "rest", "asks", "band")}
+        got["slots"] = np.frombuffer(b"".join(table.column("slots").to_pylist()), dtype=np.uint8).reshape(len(table), -1)
+        got["bands"] = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(table), -1)
+        got["bits"] = bits_of(got["slots"]).view(np.uint64)
+        got["first"] = np.cumsum(got["n"], dtype=np.int64) - got["n"]
+        return got
+
+    def groups(table: pa.Table) -> pa.RecordBatch:
+        key = np.stack([table.column(c).to_numpy() for c in ("bucket", "i", "j")])
+        cuts = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+        got, found = columns(table), []
+        flat = table.column("set").combine_chunks().flatten().to_numpy().view(np.uint64)
+        for lo, hi in zip(cuts, [*cuts[1:], len(table)], strict=True):
+            part = {k: v[lo:hi] for k, v in got.items()}
+            asks = part["asks"]
+            found += links_in_block({k: v[asks] for k, v in part.items()} | {"flat": flat}, {k: v[~asks] for k, v in part.items()} | {"flat": flat}, part["band"][0], percent)
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    def key_at(table: pa.Table, i: int) -> tuple:
+        return tuple(table.column(c)[i].as_py() for c in ("bucket", "i", "j"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last group's rows may go on in the next batch
+        for batch in batches:
+            if not len(batch):
+                continue
+            table = pa.Table.from_batches([*held, batch])
+            last = key_at(table, len(table) - 1)
+            low, high = 0, len(table) - 1
+            while low < high:  # where the last group begins
+                mid = (low + high) // 2
+                low, high = (low, mid) if key_at(table, mid) == last else (mid + 1, high)
+            if low:
+                yield groups(table.slice(0, low).combine_chunks())
+            held = table.slice(low).combine_chunks().to_batches()
+        if held:
+            yield groups(pa.Table.from_batches(held))
+
+    tune(rows.sparkSession)
+    return dealt.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -258,18 +340,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows with one id are one document. Texts that are null, empty or without words have no shingles and no links:
     component_id is their own id. A null id takes no part in links and has a null component.
     """
-    spark = docs.sparkSession
     base = staged(sketches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text"), "sketches")
     named = base.filter("id IS NOT NULL AND key IS NOT NULL")
     classes = named.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
-    reps = named.join(classes.select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi")
     # the texts of one id are variants with bits of their own, of one node
     variant = F.xxhash64("key").alias("variant")
-    rows = staged(reps.select(F.explode("bands").alias("bucket"), F.col("id").alias("rep"), F.col("n_shingles").cast("int").alias("n"), variant), "buckets")
-    ranges = rows.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last"), F.count("*").alias("size")).filter("pivot < last")
     words = -(-BANDS * ROWS // 64)
-    bits = reps.select(F.col("id").alias("rep"), variant, *(F.col("bits")[i].alias(f"bits{i}") for i in range(words))).dropDuplicates(["rep", "variant"])
-    shared = staged(rows.join(ranges.select("bucket", "pivot", "size"), "bucket").join(bits, ["rep", "variant"]), "shared")
+    bits = [F.col("bits")[i].alias(f"bits{i}") for i in range(words)]
+    reps = named.join(classes.select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi").dropDuplicates(["key", "id"])
+    reps = staged(reps.select(F.col("id").alias("rep"), variant, F.col("n_shingles").cast("int").alias("n"), *bits, "bands", "slots"), "classes")
+    rows = reps.select(F.posexplode("bands").alias("band", "bucket"), "rep", "n", "variant", *(f"bits{i}" for i in range(words)))
+    ranges = rows.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot < last")
+    shared = staged(rows.join(ranges.select("bucket", "pivot"), "bucket"), "shared")
     marks = ["n", "variant", *(f"bits{i}" for i in range(words))]
 
     def near(other: str) -> F.Column:
@@ -294,39 +376,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return compute
 
     wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(asked, "id", "left_semi")
-    sets = staged(map_text(wanted, "text", ["id"], [("key", T.BinaryType()), ("set", T.ArrayType(T.LongType()))], start).select("id", variant, "set"), "sets")
+    sets = map_text(wanted, "text", ["id"], [("key", T.BinaryType()), ("set", T.ArrayType(T.LongType()))], start).select("id", variant, "set")
+    repeated = named.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").limit(1)
+    sets = staged(sets if repeated.isEmpty() else sets.dropDuplicates(["id", "variant"]), "sets")
 
     # rows with one id but different texts are one node: nothing to link, as their classes carry the same name
     links = staged(links_of(pairs, sets, percent), "links")
     own = classes.filter("rep < last").select("key", "rep")
     members = named.join(own, "key").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    repeated = named.groupBy("id").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x <> y").select("id").limit(1)
-    if repeated.count():
+    if not repeated.isEmpty():
         links = staged(links.unionByName(members).distinct(), "links")
-    step, groups = 0, components(links)
-    while step <= PIVOT_ROUNDS:
-        held = shared.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "rep", "size", F.coalesce("component", "rep").alias("component"), *marks)
-        mixed = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("rep", F.lit(step)), "rep", "component", *marks)).alias("p"))
-        mixed = mixed.filter("low < high").select("bucket", *(F.col(f"p.{c}").alias(f"pivot_{c}") for c in ("rep", "component", *marks)))
-        open_rows = staged(held.join(mixed, "bucket"), "mixed")
-        large = open_rows.filter(F.col("size") > SMALL_BUCKET)
-        if step > 0 and large.isEmpty():
-            break
-        if step == PIVOT_ROUNDS:
-            more = prefix_pairs(large.select(F.col("rep").alias("id"), "component", *marks).distinct(), sets, percent, near("other_"), marks)
-        else:
-            more = one_each(large.filter("component <> pivot_component").filter(near("pivot_")))
-        if step == 0:
-            left = open_rows.filter(F.col("size") <= SMALL_BUCKET).select("bucket", "rep", "component", *marks)
-            right = renamed(left, "other_", "rep", "component").withColumnRenamed("bucket", "o_bucket")
-            cross = left.join(right, (F.col("bucket") == F.col("o_bucket")) & (F.col("rep") < F.col("other_rep")) & (F.col("component") != F.col("other_component")) & near("other_"))
-            more = more.union(cross.select(F.col("rep").alias("a"), F.col("other_rep").alias("b"))).distinct()
-        found = staged(links_of(staged(more, "pairs"), sets, percent), "links")
-        if found.isEmpty():
-            step = max(step + 1, PIVOT_ROUNDS)  # more pivots would find no more
-            continue
-        groups = components(groups.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
-        step += 1
+    groups = components(links)
+
+    def of_groups(rows: DataFrame) -> DataFrame:
+        return rows.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+    def merged(found: DataFrame) -> DataFrame:
+        return components(groups.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
+
+    for step in range(PIVOT_ROUNDS + 1):
+        held = of_groups(shared)
+        mixed = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("rep", F.lit(step)), "rep", "component", *marks)).alias("p")).filter("low < high")
+        if step < PIVOT_ROUNDS:
+            pivots = mixed.select("bucket", *(F.col(f"p.{c}").alias(f"pivot_{c}") for c in ("rep", "component", *marks)))
+            more = one_each(held.join(pivots, "bucket").filter("component <> pivot_component").filter(near("pivot_")))
+            found = staged(links_of(more, sets, percent), "links")
+            if not found.isEmpty():
+                groups = merged(found)
+                continue
+        open_rows = staged(held.join(mixed.select("bucket"), "bucket", "left_semi").select("bucket", "band", "rep", "component", "n", "variant"), "mixed")
+        whole = reps.select("rep", "variant", "slots", "bands").join(sets.withColumnRenamed("id", "rep"), ["rep", "variant"])
+        found = staged(links_of_mixed(open_rows.join(whole, ["rep", "variant"]), percent), "links")
+        if not found.isEmpty():
+            groups = merged(found)
+        break
     named_groups = classes.select("key", "rep").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = base.select("id", "n_shingles", "key").join(named_groups, "key", "left")
     component = F.coalesce("component", "id")

@@ -59,9 +59,11 @@ def near_copies(seed=0):
     return rows
 
 
-@pytest.mark.parametrize("small", [48, 2])
-def test_groups_against_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(dedup, "SMALL_BUCKET", small)
+@pytest.mark.parametrize(("block", "shingles", "rounds"), [(1024, 1 << 19, 3), (7, 1 << 19, 0), (1024, 500, 0)])
+def test_groups_against_brute_force(spark, monkeypatch, block, shingles, rounds):
+    """Whether pivots or blocks of mixed buckets find the links, and however small the blocks are."""
+    for name, value in {"BLOCK": block, "BLOCK_SHINGLES": shingles, "PIVOT_ROUNDS": rounds}.items():
+        monkeypatch.setattr(dedup, name, value)
     rows = near_copies()
     want, sizes = brute_groups(rows)
     got = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -70,9 +72,23 @@ def test_groups_against_brute_force(spark, monkeypatch, small):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-@pytest.mark.parametrize("small", [48, 1])
-def test_every_text_of_a_repeated_id_has_its_links(spark, monkeypatch, small):
-    monkeypatch.setattr(dedup, "SMALL_BUCKET", small)
+def test_a_large_group_of_edited_copies(spark):
+    """Copies with many edits: of the pairs some are links and most are not, in buckets that all of them share."""
+    rng = np.random.default_rng(5)
+    base, rows = [f"w{x}" for x in range(150)], []
+    for i in range(400):
+        copy = list(base)
+        for at in rng.integers(0, 150, int(rng.integers(3, 9))):
+            copy[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(copy)))
+    want, _ = brute_groups(rows)
+    got = {r.doc_id: r.component_id for r in dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 1 < len(set(want.values())) < 400
+
+
+@pytest.mark.parametrize("rounds", [3, 0])
+def test_every_text_of_a_repeated_id_has_its_links(spark, monkeypatch, rounds):
+    monkeypatch.setattr(dedup, "PIVOT_ROUNDS", rounds)
     rng = np.random.default_rng(3)
     texts = [[f"w{x}" for x in rng.integers(0, 10**6, 120)] for _ in range(9)]
     near = lambda k, i: " ".join([*texts[k][:-1], f"x{k}y{i}"])
