@@ -3,7 +3,8 @@
 A line is normalised (A-Z lower-cased, digits to 0, runs of white space to one space) and hashed. For each source
 (the host of a document) and line, the distinct documents that hold it are counted, over all documents; documents
 with the same set of lines and near-duplicates are copies and count once, else a copied text would make boilerplate of
-itself. Lines in more than LINE_DOCS distinct documents of their source, however large it is, are boilerplate and are
+itself. Near-duplicates are sought among the documents that hold a line with enough distinct sets of lines, as no
+other line can have enough documents; a chain of near-duplicates ends at a document without such a line. Lines in more than LINE_DOCS distinct documents of their source, however large it is, are boilerplate and are
 removed; a document whose remaining words are fewer than LEFT_WORDS, or less than LEFT_SHARE of its words, is
 depleted.
 """
@@ -81,16 +82,17 @@ def line_hashes(text: str) -> tuple[list[int], list[int]]:
 
 
 def copies_of(docs: DataFrame) -> DataFrame:
-    """(row, class) for rows (row, text, content): one class for what near-duplicates and equal contents link, over any number of steps."""
-    near = dedup.near_duplicates(docs, "row", "text").select("row", F.col("component_id").alias("class"))
-    near = staged(near.join(docs.select("row", "content"), "row"), "copies")
+    """(text_key, class) for rows (text_key, content, text): one class for what near-duplicates and equal contents link, over any number of steps."""
+    contents = docs.select("text_key", "content").distinct()
+    near = dedup.near_duplicates(docs, "text_key", "text").select("text_key", F.col("component_id").alias("class")).distinct()
+    near = staged(near.join(contents, "text_key"), "copies")
     held = near.select("content", "class").distinct()
     low = held.groupBy("content").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
     edges = staged(held.join(low, "content").filter("class <> low").select(F.col("class").alias("a"), F.col("low").alias("b")).distinct(), "links")
     if edges.isEmpty():
-        return near.select("row", "class")
+        return near.select("text_key", "class")
     merged = dedup.components(edges).select(F.col("node").alias("class"), "component")
-    return near.join(merged, "class", "left").select("row", F.coalesce("component", "class").alias("class"))
+    return near.join(merged, "class", "left").select("text_key", F.coalesce("component", "class").alias("class"))
 
 
 def quality(docs: DataFrame, keep: list[str], text_col: str = "text", source_col: str = "source", names: dict[str, str] | None = None) -> DataFrame:
@@ -100,7 +102,7 @@ def quality(docs: DataFrame, keep: list[str], text_col: str = "text", source_col
     rules; documents with a null source form a source of their own. names renames result columns that would clash.
     """
     names = {n: (names or {}).get(n, n) for n in [*FIELDS, "n_line_words", "base_failed", "kept"]}
-    row, lines, counts, source, whole = (fresh(n, [*docs.columns, *names.values()]) for n in ("line_row", "line_hashes", "line_words", "line_source", "line_text"))
+    key, lines, counts, source = (fresh(n, [*docs.columns, *names.values()]) for n in ("text_key", "line_hashes", "line_words", "line_source"))
 
     def start():
         def compute(texts):
@@ -111,23 +113,24 @@ def quality(docs: DataFrame, keep: list[str], text_col: str = "text", source_col
         return compute
 
     fields = [(names[n], T.LongType()) for n in FIELDS] + [(lines, T.ArrayType(T.LongType())), (counts, T.ArrayType(T.LongType()))]
-    with_source = docs.withColumn(source, F.xxhash64(F.coalesce(F.col(source_col), F.lit("\0"))))
-    # the text stays in the staged rows, as near-duplicates are sought by the same row numbers
-    text = text_col if text_col in keep else whole
-    base = map_text(with_source.withColumn(text, F.col(text_col)), text_col, list(dict.fromkeys([*keep, source, text])), fields, start)
-    # a row's own number stands for the document, so rows that repeat an id stay apart; written down, it stays the same
-    base = staged(base.withColumn(row, F.monotonically_increasing_id()), "quality")
+    # a text's hash stands for the document: rows with one text are copies, whatever their ids
+    keyed = docs.withColumn(source, F.xxhash64(F.coalesce(F.col(source_col), F.lit("\0")))).withColumn(key, F.xxhash64(text_col))
+    base = staged(map_text(keyed, text_col, [*keep, source, key], fields, start), "quality")
     content = F.xxhash64(F.array_sort(lines)).alias("content")
-    long = base.select(F.col(row).alias("row"), F.col(source).alias("source"), content, F.explode(F.arrays_zip(F.col(lines).alias("line"), F.col(counts).alias("words"))).alias("x"))
-    long = long.select("row", "source", "content", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
+    long = base.select(F.col(key).alias("text_key"), F.col(source).alias("source"), content, F.explode(F.arrays_zip(F.col(lines).alias("line"), F.col(counts).alias("words"))).alias("x"))
+    long = long.select("text_key", "source", "content", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
     # classes merge contents, so only lines with enough contents can have enough classes
     often = staged(long.select("source", "line", "content").distinct().groupBy("source", "line").agg(F.count("*").alias("n")).filter(F.col("n") > LINE_DOCS).select("source", "line"), "lines")
-    if not often.isEmpty():
-        copies = copies_of(base.select(F.col(row).alias("row"), F.col(text).alias("text"), content))
-        held = long.join(often, ["source", "line"]).select("row", "source", "line").join(copies, "row").select("source", "line", "class").distinct()
-        often = held.groupBy("source", "line").agg(F.count("*").alias("n")).filter(F.col("n") > LINE_DOCS).select("source", "line")
-    removed = long.join(often, ["source", "line"]).groupBy(F.col("row").alias(row)).agg(F.sum("words").alias(names["n_line_words"]))
-    out = base.drop(source, lines, counts, whole).join(removed, row, "left")
+    # only the documents that hold such a line need a class
+    hits = staged(long.join(often, ["source", "line"]).groupBy("text_key", "source", "content").agg(F.collect_set("line").alias("lines")), "hits")
+    if not hits.isEmpty():
+        asked = hits.select(F.col("text_key").alias(key), "content").distinct()
+        texts = keyed.select(key, F.col(text_col).alias("text")).join(asked, key).select(F.col(key).alias("text_key"), "content", "text")
+        held = hits.join(copies_of(texts), "text_key").select("source", F.explode("lines").alias("line"), "class").distinct()
+        often = staged(held.groupBy("source", "line").agg(F.count("*").alias("n")).filter(F.col("n") > LINE_DOCS).select("source", "line"), "lines")
+    once = long.join(often, ["source", "line"]).groupBy("text_key", "source", "line").agg(F.max("words").alias("words"))
+    removed = once.groupBy(F.col("text_key").alias(key), F.col("source").alias(source)).agg(F.sum("words").alias(names["n_line_words"]))
+    out = base.drop(lines, counts).join(removed, [key, source], "left")
     n, gone, repeated = F.col(names["n_words"]), F.coalesce(names["n_line_words"], F.lit(0)).cast("long"), F.col(names["n_repeat_words"])
     failed = (n < MIN_WORDS) | (100 * repeated > REPEAT_PERCENT * n)
     depleted = (gone > 0) & ((n - gone < LEFT_WORDS) | (n - gone < LEFT_SHARE * n))

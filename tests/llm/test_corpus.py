@@ -185,10 +185,11 @@ def test_depleted_documents_go(spark):
     rows = [(i, f"{menu}\n{own(i)}\n tail {letters(i)}", "a") for i in range(30)]  # boilerplate, but enough of their own
     rows += [(100 + i, f"{menu}\nonly {own(i)[:20]}", "a") for i in range(30)]  # little but boilerplate
     rows += [(200 + i, f"copied {own(999)}\n{own(998)}", "a") for i in range(30)]  # copies of one text are no boilerplate
+    rows += [(100, rows[30][1], "a")] * 3  # repeated rows count their words once
     rows += [(300, f"{menu}\nonly this", "b")]  # elsewhere the line is not frequent
     got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["doc_id"]).collect()}
     assert all(got[i].kept for i in range(30)) and all(got[200 + i].kept for i in range(30)) and got[300].n_line_words == 0
-    assert not any(got[100 + i].kept for i in range(30)) and not got[100].base_failed
+    assert not any(got[100 + i].kept for i in range(30)) and not got[100].base_failed and got[100].n_line_words == 60
 
 
 def test_edited_copies_are_no_boilerplate(spark):
@@ -199,8 +200,8 @@ def test_edited_copies_are_no_boilerplate(spark):
         copy = [list(line) for line in text]
         copy[i % 12][(i // 12) % 20] = f"edit{letters(i)}"
         rows.append((i, "\n".join(map(" ".join, copy)), "a"))
-    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["doc_id"]).collect()
-    assert len(got) == 300 and all(r.kept and r.n_line_words == 0 for r in got)
+    got = quality.quality(spark.createDataFrame(rows * 2, "doc_id long, text string, source string"), ["doc_id"]).collect()
+    assert len(got) == 600 and all(r.kept and r.n_line_words == 0 for r in got)
 
 
 def test_boilerplate_does_not_depend_on_the_size_of_a_source(spark):
@@ -215,9 +216,9 @@ def test_boilerplate_does_not_depend_on_the_size_of_a_source(spark):
 
 def test_equal_lines_and_near_copies_are_one_class(spark):
     words = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
-    rows = [(0, words + " one", 1), (1, words + " two", 2), (2, "other words", 2), (3, "text of its own", 4)]  # 0 and 1 are near, 1 and 2 have one content
-    got = {r.row: r["class"] for r in quality.copies_of(spark.createDataFrame(rows, "row long, text string, content long")).collect()}
-    assert got == {0: 0, 1: 0, 2: 0, 3: 3}
+    rows = [(0, words + " one", 1), (1, words + " two", 2), (2, "other words", 2), (3, "text of its own", 4)] * 2  # 0 and 1 are near, 1 and 2 have one content
+    got = [tuple(r) for r in quality.copies_of(spark.createDataFrame(rows, "text_key long, text string, content long")).collect()]
+    assert sorted(got) == [(0, 0), (1, 0), (2, 0), (3, 3)]
 
 
 def test_quality_of_odd_documents(spark):
