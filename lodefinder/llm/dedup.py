@@ -41,6 +41,8 @@ PERCENT = 75
 PIVOT_ROUNDS, BLOCK, BLOCK_SHINGLES = 1, 1024, 1 << 19
 #: At similarity 0.75 an eighth of 250 bits differ, 31 with a deviation of 5.2; of 250 slots 188 agree, with one of 6.9.
 FAR, AGREE = 63, 146
+#: 64-bit numbers that hold a bit of each slot.
+WORDS = -(-BANDS * ROWS // 64)
 CACHE_SIZE = 200_000
 U64 = np.uint64
 UNSET = np.uint32(0xFFFFFFFF)
@@ -139,31 +141,45 @@ def bits_of(signatures: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, key, bands, bits, slots): key is a 128-bit hash of the set, null for an empty one, which has no bands.
-
-    bits are the lowest bits of the signature's slots, slots their lowest bytes.
-    """
+    """(id, n_shingles, key, bands): key is a 128-bit hash of the set, null for an empty one, which has no bands."""
 
     def start():
         def compute(texts):
-            n, keys, flat, ends, bits, slots = [], [], [], [0], [], []
+            n, keys, flat, ends = [], [], [], [0]
             for lo in range(0, len(texts), 250):
                 sets = [shingle_set(x) for x in texts[lo : lo + 250]]
-                signatures = super_minhash(sets)
-                made = bands_of(signatures)
-                bits += list(bits_of(signatures))
-                slots += [x.tobytes() for x in signatures.astype(np.uint8)]
+                made = bands_of(super_minhash(sets))
                 n += [len(s) for s in sets]
                 keys += [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 full = np.array([len(s) > 0 for s in sets], dtype=bool)
                 flat.append(made[full].ravel())
                 ends += list(ends[-1] + np.cumsum(full) * BANDS)
-            return [n, keys, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int64())), bits, slots]
+            return [n, keys, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int64()))]
+
+        return compute
+
+    return map_text(docs, text_col, [id_col], [("n_shingles", T.LongType()), ("key", T.BinaryType()), ("bands", T.ArrayType(T.LongType()))], start)
+
+
+def whole_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, variant, n, set, slots, bands, bits0 ...): the sets of texts; lowest bytes and lowest bits of their signatures' slots."""
+
+    def start():
+        def compute(texts):
+            out = [[] for _ in range(5)]
+            for lo in range(0, len(texts), 250):
+                sets = [shingle_set(x) for x in texts[lo : lo + 250]]
+                signatures = super_minhash(sets)
+                made = ([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [s.view(np.int64) for s in sets], [x.tobytes() for x in signatures.astype(np.uint8)], list(bands_of(signatures)), list(bits_of(signatures)))
+                for column, part in zip(out, made, strict=True):
+                    column += part
+            return out
 
         return compute
 
     longs = T.ArrayType(T.LongType())
-    return map_text(docs, text_col, [id_col], [("n_shingles", T.LongType()), ("key", T.BinaryType()), ("bands", longs), ("bits", longs), ("slots", T.BinaryType())], start)
+    made = map_text(docs, text_col, [id_col], [("key", T.BinaryType()), ("set", longs), ("slots", T.BinaryType()), ("bands", longs), ("bits", longs)], start)
+    return made.select(id_col, F.xxhash64("key").alias("variant"), F.size("set").alias("n"), "set", "slots", "bands", *(F.col("bits")[i].alias(f"bits{i}") for i in range(WORDS)))
 
 
 def contract(edges: DataFrame) -> DataFrame:
@@ -240,12 +256,12 @@ def links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
 
 
-def links_in_block(rest: dict[str, np.ndarray], rows: dict[str, np.ndarray], band: int, percent: int) -> list[tuple[int, int]]:
-    """Links of rows of rest with rows of other groups, verified where this band's bucket is the pair's first common one.
+def links_in_block(rest: dict[str, np.ndarray], rows: dict[str, np.ndarray], bucket: int, percent: int) -> list[tuple[int, int]]:
+    """Links of rows of rest with rows of other groups, verified where this bucket is the pair's first common one.
 
     rows: their sets lie in a row in "flat", from "first" on, "n" shingles each. One link for each row and group.
     """
-    found = []
+    found, band = [], int(np.argmax(rows["bands"][0] == bucket)) if len(rows["rep"]) else 0
     for lo in range(0, len(rest["rep"]), 64):
         x = {k: v[lo : lo + 64] for k, v in rest.items() if k != "flat"}
         n, m = x["n"][:, None], rows["n"][None, :]
@@ -273,8 +289,8 @@ def links_in_block(rest: dict[str, np.ndarray], rows: dict[str, np.ndarray], ban
     return found
 
 
-def links_of_mixed(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among rows (bucket, band, rep, component, n, variant, slots, bands, set) of mixed buckets, verified."""
+def links_of_mixed(rows: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b), verified, among rows (bucket, rep, component, n, variant) of mixed buckets; whole: (rep, variant, set, slots, bands)."""
     sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.sum("n").alias("n")).groupBy("bucket")
     sizes = sizes.agg(F.max_by("component", F.struct("k", "component")).alias("home"), F.sum("k").alias("all_k"), F.sum("n").alias("all_n"), F.max(F.struct("k", "component", "n")).alias("h"))
     blocks = lambda k, n: F.greatest(F.ceil(k / BLOCK), F.ceil(n / BLOCK_SHINGLES)).cast("int")
@@ -288,11 +304,11 @@ def links_of_mixed(rows: DataFrame, percent: int) -> DataFrame:
     asking = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: place(True, row_of, j))
     asked = F.transform(F.sequence(F.lit(0), F.col("rest_blocks") - 1), lambda i: place(False, i, column_of))
     dealt = dealt.withColumn("place", F.explode(F.when(F.col("rest"), F.concat(asking, asked)).otherwise(asked)))
-    names = ["bucket", "i", "j", "asks", "rest", "band", "rep", "component", "n", "slots", "bands", "set"]
-    dealt = dealt.select("bucket", "place.i", "place.j", "place.asks", *names[4:]).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    dealt = dealt.select("bucket", "place.i", "place.j", "place.asks", "rest", "component", "n", "rep", "variant").join(whole, ["rep", "variant"])
+    dealt = dealt.drop("variant").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def columns(table: pa.Table) -> dict[str, np.ndarray]:
-        got = {c: table.column(c).to_numpy() for c in ("rep", "component", "n", "rest", "asks", "band")}
+        got = {c: table.column(c).to_numpy() for c in ("bucket", "rep", "component", "n", "rest", "asks")}
         got["slots"] = np.frombuffer(b"".join(table.column("slots").to_pylist()), dtype=np.uint8).reshape(len(table), -1)
         got["bands"] = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(table), -1)
         got["bits"] = bits_of(got["slots"]).view(np.uint64)
@@ -307,7 +323,7 @@ def links_of_mixed(rows: DataFrame, percent: int) -> DataFrame:
         for lo, hi in zip(cuts, [*cuts[1:], len(table)], strict=True):
             part = {k: v[lo:hi] for k, v in got.items()}
             asks = part["asks"]
-            found += links_in_block({k: v[asks] for k, v in part.items()} | {"flat": flat}, {k: v[~asks] for k, v in part.items()} | {"flat": flat}, part["band"][0], percent)
+            found += links_in_block({k: v[asks] for k, v in part.items()} | {"flat": flat}, {k: v[~asks] for k, v in part.items()} | {"flat": flat}, part["bucket"][0], percent)
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     def key_at(table: pa.Table, i: int) -> tuple:
@@ -340,76 +356,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows with one id are one document. Texts that are null, empty or without words have no shingles and no links:
     component_id is their own id. A null id takes no part in links and has a null component.
     """
-    base = staged(sketches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text"), "sketches")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base = staged(sketches(texts, "id", "text"), "sketches")
     named = base.filter("id IS NOT NULL AND key IS NOT NULL")
     classes = named.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
-    # the texts of one id are variants with bits of their own, of one node
+    # nodes are the smallest ids of classes; the texts of a repeated id are variants, of one node
     variant = F.xxhash64("key").alias("variant")
-    words = -(-BANDS * ROWS // 64)
-    bits = [F.col("bits")[i].alias(f"bits{i}") for i in range(words)]
     reps = named.join(classes.select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi").dropDuplicates(["key", "id"])
-    reps = staged(reps.select(F.col("id").alias("rep"), variant, F.col("n_shingles").cast("int").alias("n"), *bits, "bands", "slots"), "classes")
-    rows = reps.select(F.posexplode("bands").alias("band", "bucket"), "rep", "n", "variant", *(f"bits{i}" for i in range(words)))
-    ranges = rows.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot < last")
-    shared = staged(rows.join(ranges.select("bucket", "pivot"), "bucket"), "shared")
-    marks = ["n", "variant", *(f"bits{i}" for i in range(words))]
+    reps = staged(reps.select(F.col("id").alias("rep"), variant, "bands"), "classes")
+    rows = reps.select(F.explode("bands").alias("bucket"), "variant")
+    ranges = rows.groupBy("bucket").agg(F.min("variant").alias("low"), F.max("variant").alias("high")).filter("low < high")
+    shared = staged(rows.join(ranges.select("bucket"), "bucket", "left_semi"), "shared")
+
+    asked = reps.select("rep", "variant").join(shared.select("variant").distinct(), "variant", "left_semi").select(F.col("rep").alias("id")).distinct()
+    sets = whole_sets(texts.join(asked, "id", "left_semi"), "id", "text")
+    repeated = named.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").limit(1)
+    sets = staged(sets if repeated.isEmpty() else sets.dropDuplicates(["id", "variant"]), "sets")
+    marks = ["n", "variant", *(f"bits{i}" for i in range(WORDS))]
+    shared = staged(shared.join(sets.select(F.col("id").alias("rep"), *marks), "variant"), "shared")
 
     def near(other: str) -> F.Column:
         """What a pair must meet to be verified, by the columns of one and those of the other, which begin with other."""
-        differ = sum((F.bit_count(F.col(f"bits{i}").bitwiseXOR(F.col(f"{other}bits{i}"))) for i in range(words)), F.lit(0))
+        differ = sum((F.bit_count(F.col(f"bits{i}").bitwiseXOR(F.col(f"{other}bits{i}"))) for i in range(WORDS)), F.lit(0))
         return (100 * F.least("n", f"{other}n") >= percent * F.greatest("n", f"{other}n")) & (differ <= FAR)
 
-    def renamed(df: DataFrame, prefix: str, *columns: str) -> DataFrame:
-        return df.select("bucket", *(F.col(c).alias(f"{prefix}{c}") for c in [*columns, *marks]))
-
-    pivots = renamed(shared.filter("rep = pivot"), "pivot_").dropDuplicates(["bucket"]).withColumnRenamed("bucket", "p_bucket")
-    others = shared.filter("rep <> pivot")
-    pairs = one_each(others.join(pivots, (F.col("bucket") == F.col("p_bucket")) & near("pivot_")).select("rep", F.col("pivot").alias("pivot_rep")))
-
-    asked = shared.select(F.col("rep").alias("id")).distinct()
-
-    def start():
-        def compute(texts):
-            found = [shingle_set(x) for x in texts]
-            return [[xxhash.xxh3_128_digest(s.tobytes()) for s in found], [s.view(np.int64) for s in found]]
-
-        return compute
-
-    wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(asked, "id", "left_semi")
-    sets = map_text(wanted, "text", ["id"], [("key", T.BinaryType()), ("set", T.ArrayType(T.LongType()))], start).select("id", variant, "set")
-    repeated = named.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").limit(1)
-    sets = staged(sets if repeated.isEmpty() else sets.dropDuplicates(["id", "variant"]), "sets")
-
     # rows with one id but different texts are one node: nothing to link, as their classes carry the same name
-    links = staged(links_of(pairs, sets, percent), "links")
     own = classes.filter("rep < last").select("key", "rep")
-    members = named.join(own, "key").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    if not repeated.isEmpty():
-        links = staged(links.unionByName(members).distinct(), "links")
-    groups = components(links)
-
-    def of_groups(rows: DataFrame) -> DataFrame:
-        return rows.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-
-    def merged(found: DataFrame) -> DataFrame:
-        return components(groups.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
-
-    for step in range(PIVOT_ROUNDS + 1):
-        held = of_groups(shared)
-        mixed = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("rep", F.lit(step)), "rep", "component", *marks)).alias("p")).filter("low < high")
-        if step < PIVOT_ROUNDS:
+    members = named.join(own, "key").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
+    groups = components(members.limit(0) if repeated.isEmpty() else members)
+
+    for step in range(PIVOT_ROUNDS + 2):
+        held = shared.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        order = F.col("rep") if step == 0 else F.xxhash64("rep", F.lit(step))
+        pivot = F.min(F.struct(order.alias("order"), "rep", "component", *marks)).alias("p")
+        mixed = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), pivot).filter("low < high")
+        last = step == PIVOT_ROUNDS + 1
+        if not last:
             pivots = mixed.select("bucket", *(F.col(f"p.{c}").alias(f"pivot_{c}") for c in ("rep", "component", *marks)))
             more = one_each(held.join(pivots, "bucket").filter("component <> pivot_component").filter(near("pivot_")))
             found = staged(links_of(more, sets, percent), "links")
-            if not found.isEmpty():
-                groups = merged(found)
-                continue
-        open_rows = staged(held.join(mixed.select("bucket"), "bucket", "left_semi").select("bucket", "band", "rep", "component", "n", "variant"), "mixed")
-        whole = reps.select("rep", "variant", "slots", "bands").join(sets.withColumnRenamed("id", "rep"), ["rep", "variant"])
-        found = staged(links_of_mixed(open_rows.join(whole, ["rep", "variant"]), percent), "links")
+            last = found.isEmpty()
+        if last:
+            open_rows = held.join(mixed.select("bucket"), "bucket", "left_semi").select("bucket", "rep", "component", "n", "variant")
+            whole = sets.select(F.col("id").alias("rep"), "variant", "set", "slots", "bands")
+            found = staged(links_of_mixed(staged(open_rows, "mixed"), whole, percent), "links")
         if not found.isEmpty():
-            groups = merged(found)
-        break
+            groups = components(groups.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
+        if last:
+            break
     named_groups = classes.select("key", "rep").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = base.select("id", "n_shingles", "key").join(named_groups, "key", "left")
     component = F.coalesce("component", "id")
