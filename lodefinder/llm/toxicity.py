@@ -1,15 +1,17 @@
 """Toxicity by subword bags: character n-gram vectors averaged into a linear softmax, trained jointly in numpy.
 
-A word's vector is the mean of the vectors of its hashed character n-grams, so a
-misspelling that training never saw still shares most of its vectors with the word it hides. A text is cut into
-windows of WINDOW words; a window's vector is the mean over its words, a linear softmax scores it, and the text's
-score is that of its most toxic window, so a long text does not dilute a short insult. Vectors and softmax are
-trained together by gradient descent on a bounded sample of labelled rows. Every document is scored whole.
+A word's vector is the mean of the vectors of its hashed character n-grams, so a misspelling that training never saw
+still shares most of its vectors with the word it hides. A text's distinct words are cut into windows of WINDOW; a
+window's vector is the mean over its words, and a linear softmax scores it. Vectors, softmax weights and bias are
+trained together by gradient descent with one rate: each window is an example with its text's label, so n-grams that
+both kinds of text hold end up at the base rate, and one that few texts hold moves little; decay keeps all small. A
+text's margin is that of its most toxic window, so a long text does not dilute a short insult. What margin makes a
+toxic label likelier than not is fitted by logistic regression on margins of texts that the model had not seen, in
+folds of the training rows. Training takes a bounded sample of labelled rows; every document is scored whole.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterable
 
@@ -21,16 +23,17 @@ from pyspark.sql import types as T
 from lodefinder.llm.common import map_text
 
 #: Labelled rows that training may use at most (the smallest hashes of their ids).
-TRAIN_DOCS = 6_000
-BUCKETS, DIM, GRAMS, WINDOW, MIN_DOCS = 1 << 18, 8, (3, 4, 5), 4, 20
-EPOCHS, BATCH, RATE, SLOW, GAIN = 6, 64, 0.5, 1e-5, 10.0
+TRAIN_DOCS = 3_000
+BUCKETS, DIM, GRAMS, WINDOW = 1 << 18, 8, (3, 4, 5), 4
+EPOCHS, BATCH, RATE, DAMPING, DECAY, FOLDS = 4, 64, 1.0, 0.03, 1e-3, 3
 CACHE_SIZE = 1_000_000
-WORD = re.compile(r"[^\W\d_]+")
+#: What is stripped from the ends of words; inside a word any character counts, as misspellings use digits and symbols.
+OUTER = ".,;:!?\"'()[]{}<>«»“”‘’„…-–—_/\\|"
 
 
 def words_of(text: str | None) -> list[str]:
     """The distinct words of a text in the order of their first use: repetition says nothing about toxicity."""
-    return list(dict.fromkeys(WORD.findall(text.lower()))) if text else []
+    return [w for w in dict.fromkeys(x.strip(OUTER) for x in text.lower().split()) if w] if text else []
 
 
 def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,16 +67,17 @@ def grams_in_parts(words: list[str], size: int = 20_000) -> tuple[np.ndarray, np
 
 
 class Model:
-    """z(word), the word's share of the logit, from n-gram vectors and softmax weights."""
+    """z(word), the word's share of a window's margin, from n-gram vectors and softmax weights; scale and bias of the text's margin."""
 
-    def __init__(self, vectors: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> None:
-        self.along = (vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float32) * GAIN
-        self.bias = float(bias[1] - bias[0])
+    def __init__(self, vectors: np.ndarray, weights: np.ndarray, scale: float, bias: float) -> None:
+        self.vectors, self.weights = vectors, weights
+        self.along = (vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float32)
+        self.scale, self.bias = scale, bias
 
     @classmethod
-    def of(cls, along: np.ndarray, bias: float) -> Model:
+    def of(cls, along: np.ndarray, scale: float, bias: float) -> Model:
         model = cls.__new__(cls)
-        model.along, model.bias = along, bias
+        model.along, model.scale, model.bias = along, scale, bias
         return model
 
     def word_logits(self, words: list[str]) -> np.ndarray:
@@ -82,58 +86,102 @@ class Model:
         return np.add.reduceat(self.along[grams], first) / counts
 
 
+class Bags:
+    """Training texts: the n-grams of each distinct word, and each text as word numbers."""
+
+    def __init__(self, texts: Iterable[list[str]]) -> None:
+        vocab: dict[str, int] = {}
+        self.docs = [np.array([vocab.setdefault(w, len(vocab)) for w in x], dtype=np.int32) for x in texts]
+        self.grams, self.first = grams_in_parts(list(vocab)) if vocab else (np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64))
+        self.size = np.diff(np.append(self.first, len(self.grams)))
+
+    def of_words(self, used: np.ndarray) -> np.ndarray:
+        """Places of the n-grams of the used words, one word's after the other's."""
+        return spread(self.first[used], self.size[used])
+
+    def margins(self, vectors: np.ndarray, weights: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """The margin of the most toxic window of each text; none may be empty."""
+        along, out = vectors @ (weights[:, 1] - weights[:, 0]), []
+        for part in np.array_split(which, max(1, len(which) // 500)):
+            if not len(part):
+                continue
+            used, at = np.unique(np.concatenate([self.docs[i] for i in part]), return_inverse=True)
+            begin = np.cumsum(self.size[used]) - self.size[used]
+            logit = (np.add.reduceat(along[self.grams[self.of_words(used)]], begin) / self.size[used])[at]
+            starts, wide, opens = windows(np.array([len(self.docs[i]) for i in part]))
+            out.append(np.maximum.reduceat(np.add.reduceat(logit, starts) / wide, opens))
+        return np.concatenate(out) if out else np.zeros(0)
+
+
+def descend(bags: Bags, labels: np.ndarray, which: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and softmax weights after EPOCHS of joint gradient descent over the windows of the texts in which."""
+    vectors = ((rng.random((BUCKETS, DIM)) - 0.5) / DIM).astype(np.float32)
+    weights = ((rng.random((DIM, 2)) - 0.5) * 2 / np.sqrt(DIM)).astype(np.float32)
+    bias, place_of = np.zeros(2, dtype=np.float32), np.full(BUCKETS, -1, dtype=np.int32)
+    for epoch in range(EPOCHS):
+        rate = RATE * (1 - epoch / EPOCHS)
+        for part in np.array_split(rng.permutation(which), max(1, len(which) // BATCH)):
+            used, at = np.unique(np.concatenate([bags.docs[i] for i in part]), return_inverse=True)
+            places, size = bags.grams[bags.of_words(used)], bags.size[used]
+            place_of[places] = 0  # np.unique would sort
+            rows = np.flatnonzero(place_of == 0)
+            place_of[rows] = np.arange(1, len(rows) + 1)
+            inverse = place_of[places] - 1
+            place_of[rows] = -1
+            lengths = np.array([len(bags.docs[i]) for i in part])
+            starts, wide, _ = windows(lengths)
+            # means of vectors times weights are means of products, which have two columns only
+            product, begin, power = vectors[rows] @ weights, np.cumsum(size) - size, []
+            for k in (0, 1):
+                word = np.add.reduceat(product[:, k][inverse], begin) / size
+                power.append(np.add.reduceat(word[at], starts) / wide + bias[k])
+            of = np.repeat(labels[part], -(-lengths // WINDOW))
+            toxic = 1 / (1 + np.exp(np.clip(power[0] - power[1], -30, 30))) - of
+            delta = np.stack([-toxic, toxic], axis=1)
+            of_word = np.bincount(at, weights=np.repeat(toxic / wide, wide), minlength=len(used))
+            of_row = np.bincount(inverse, weights=np.repeat(of_word / size, size), minlength=len(rows)).astype(np.float32)
+            of_row = np.stack([-of_row, of_row], axis=1)
+            # a bound of the loss's curvature along each n-gram scales its step: frequent ones do not overshoot, and one
+            # that few windows hold moves by its gradient over DAMPING, so little
+            share = np.bincount(at, weights=np.repeat(1 / wide, wide), minlength=len(used)) / size
+            curve = np.bincount(inverse, weights=np.repeat(share, size), minlength=len(rows)) * np.square(weights[:, 1] - weights[:, 0]).sum() / 4
+            step = (vectors[rows].T @ of_row) / len(of)
+            vectors[rows] -= rate * ((of_row @ weights.T / (curve + DAMPING)[:, None]).astype(np.float32) + DECAY * vectors[rows])
+            weights -= rate * (step.astype(np.float32) + DECAY * weights)
+            bias -= rate * delta.mean(axis=0)
+    return vectors, weights
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Scale and bias of the logistic regression of y on x, by Newton steps; a weak prior keeps the scale finite."""
+    middle, spread_of = x.mean(), x.std() + 1e-9
+    z = np.stack([(x - middle) / spread_of, np.ones(len(x))], axis=1)
+    w, prior = np.zeros(2), np.array([1e-2, 1e-4])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(prior), z.T @ (p - y) + prior * w)
+    return float(w[0] / spread_of), float(w[1] - w[0] * middle / spread_of)
+
+
 def train(texts: Iterable[list[str]], labels: np.ndarray, seed: int = 7) -> Model:
     """texts: the words of each text, taken one by one. One class only, or no rows: every text gets the share of toxic labels."""
     rng = np.random.default_rng(seed)
-    vectors = ((rng.random((BUCKETS, DIM)) - 0.5) * 0.02).astype(np.float32)
-    weights, bias = np.zeros((DIM, 2), dtype=np.float32), np.zeros(2, dtype=np.float32)
+    bags = Bags(texts)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
-    bias[1] = np.log(share / (1 - share))
-    vocab: dict[str, int] = {}
-    docs = [np.array([vocab.setdefault(w, len(vocab)) for w in x], dtype=np.int32) for x in texts]
-    if not vocab or labels.min() == labels.max():
-        return Model(vectors, weights, bias)
-    weights[:, 1] = 0.5
-    weights[:, 0] = -0.5
-    grams, first = grams_in_parts(list(vocab))
-    del vocab
-    size = np.diff(np.append(first, len(grams)))
-    # n-grams in fewer than MIN_DOCS training texts keep a zero vector: they would only learn those texts by heart
-    seen = np.zeros(BUCKETS, dtype=np.int32)
-    for x in docs:
-        if len(x):
-            seen[np.unique(grams[spread(first[u := np.unique(x)], size[u])])] += 1
-    known = seen >= MIN_DOCS
-    vectors[~known] = 0
-    filled = np.array([i for i, x in enumerate(docs) if len(x)])
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - 0.9 * epoch / EPOCHS)
-        for part in np.array_split(rng.permutation(filled), max(1, len(filled) // BATCH)):
-            words = np.concatenate([docs[i] for i in part])
-            along = vectors @ (weights[:, 1] - weights[:, 0])
-            used, at = np.unique(words, return_inverse=True)
-            logit = mean_of(along, grams, first, size, used)[at]
-            starts, wide, opens = windows(np.array([len(docs[i]) for i in part]))
-            margin = np.add.reduceat(logit, starts) / wide * GAIN
-            ends = np.append(opens[1:], len(starts))
-            best = np.array([o + int(np.argmax(margin[o:e])) for o, e in zip(opens, ends, strict=True)])
-            p = 1 / (1 + np.exp(-np.clip(margin[best] + bias[1] - bias[0], -30, 30)))
-            delta = (p - labels[part]).astype(np.float32)
-            # only each text's most toxic window has a gradient
-            spans = np.concatenate([np.arange(starts[b], starts[b] + wide[b]) for b in best])
-            share_of = np.repeat(delta * GAIN / wide[best], wide[best])
-            of_word = np.bincount(at[spans], weights=share_of, minlength=len(used))
-            touched = np.flatnonzero(of_word)
-            flat = spread(first[used[touched]], size[used[touched]])
-            each = np.repeat(of_word[touched] / size[used[touched]], size[used[touched]])
-            rows, inverse = np.unique(grams[flat], return_inverse=True)
-            of_row = (np.bincount(inverse, weights=each) * known[rows]).astype(np.float32)
-            mean = of_row @ vectors[rows]
-            # plain gradient steps: unlike Adam's, they leave n-grams that few texts share almost where they were
-            vectors[rows] -= rate * np.outer(of_row, weights[:, 1] - weights[:, 0])
-            weights -= rate * SLOW * np.stack([-mean, mean], axis=1)
-            bias -= rate * SLOW * np.array([-delta.sum(), delta.sum()], dtype=np.float32)
-    return Model(vectors, weights, bias)
+    filled = np.array([i for i, x in enumerate(bags.docs) if len(x)], dtype=np.int64)
+    known = labels[filled]
+    if min(known.sum(), (1 - known).sum()) < 1:
+        return Model(np.zeros((1, DIM), dtype=np.float32).repeat(BUCKETS, axis=0), np.zeros((DIM, 2), dtype=np.float32), 0.0, float(np.log(share / (1 - share))))
+    fold = np.zeros(len(filled), dtype=np.int64)
+    for y in (0, 1):  # each fold gets its part of either label
+        of = np.flatnonzero(known == y)
+        fold[rng.permutation(of)] = np.arange(len(of)) % FOLDS
+    unseen = np.zeros(len(filled))
+    for k in range(FOLDS):
+        if (held := fold == k).any() and not held.all():
+            unseen[held] = bags.margins(*descend(bags, labels, filled[~held], rng), filled[held])
+    scale, bias = logistic(unseen, known)
+    return Model(*descend(bags, labels, filled, rng), max(scale, 0.0), bias)
 
 
 def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -142,11 +190,6 @@ def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) - np.repeat(begin - first, size)
 
 
-def mean_of(along: np.ndarray, grams: np.ndarray, first: np.ndarray, size: np.ndarray, used: np.ndarray) -> np.ndarray:
-    begin = np.cumsum(size[used]) - size[used]
-    return np.add.reduceat(along[grams[spread(first[used], size[used])]], begin) / size[used]
-
-
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and widths of all windows of texts of the given (positive) lengths laid in a row; each text's first window."""
     n = -(-lengths // WINDOW)
@@ -177,7 +220,7 @@ class Scorer:
         if filled:
             logits = np.array([known[w] for i in filled for w in docs[i]])
             starts, wide, opens = windows(np.array([len(docs[i]) for i in filled]))
-            margin[filled] += np.maximum.reduceat(np.add.reduceat(logits, starts) / wide, opens)
+            margin[filled] += self.model.scale * np.maximum.reduceat(np.add.reduceat(logits, starts) / wide, opens)
         return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 
@@ -208,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def toxicity_scores(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The kept columns and score_col: 0 to 1, higher where a toxic label is likelier. No or empty text: the base rate."""
-    sent, name = docs.sparkSession.sparkContext.broadcast((model.along, model.bias)), uuid.uuid4().hex
+    sent, name = docs.sparkSession.sparkContext.broadcast((model.along, model.scale, model.bias)), uuid.uuid4().hex
 
     def start():
         if name not in _SCORERS:

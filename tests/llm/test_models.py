@@ -41,8 +41,51 @@ def test_toxicity_on_held_out_labels(spark):
 def test_misspellings_share_vectors():
     rows, marks = insulting(900)
     model = toxicity.train([toxicity.words_of(x) for _, x in rows], np.array([t for *_, t in marks], dtype=np.float32))
-    plain, seen, unseen = model.word_logits(["than", "idiot", "idiott"])
-    assert seen > unseen > plain
+    plain, seen, *unseen = model.word_logits(["than", "idiot", "idiott", "id-iot", "idio7", "idiot's"])
+    assert all(seen > x > plain for x in unseen)
+    words = "then rees oned tian thed reou oned inan".split()
+    scored = toxicity.Scorer(model).scores([" ".join(words), " ".join([*words, "idiott!"]), "You. Are, (idio7)"])
+    assert scored[0] < 0.5 < min(scored[1:])
+
+
+def test_vectors_and_softmax_are_trained_together():
+    rows, marks = insulting(300)
+    bags, y = toxicity.Bags([toxicity.words_of(x) for _, x in rows]), np.array([t for *_, t in marks], dtype=np.float32)
+    first = np.random.default_rng(1)
+    first.random((toxicity.BUCKETS, toxicity.DIM))
+    start = (first.random((toxicity.DIM, 2)) - 0.5) * 2 / np.sqrt(toxicity.DIM)
+    vectors, weights = toxicity.descend(bags, y, np.arange(300), np.random.default_rng(1))
+    assert np.abs(weights - start).max() > 0.01 and np.abs(vectors).max() > 10 * 0.5 / toxicity.DIM
+    assert np.linalg.svd(vectors[np.unique(bags.grams)], compute_uv=False)[1] > 0.5
+
+
+def test_scores_against_plain_python():
+    """Word by word and window by window, with no array over words."""
+    rows, marks = insulting(200)
+    model = toxicity.train([toxicity.words_of(x) for _, x in rows], np.array([t for *_, t in marks], dtype=np.float32))
+    texts = [x for _, x in rows[:30]] + ["", None, "One two. THREE four five six! seven idiot", "x" * 5000]
+    turn = model.weights[:, 1] - model.weights[:, 0]
+    for text, got in zip(texts, toxicity.Scorer(model).scores(texts), strict=True):
+        words, best = [], None
+        for w in (text or "").lower().split():
+            w = w.strip(toxicity.OUTER)
+            if w and w not in words:
+                words.append(w)
+        for at in range(0, len(words), toxicity.WINDOW):
+            part = words[at : at + toxicity.WINDOW]
+            margin = sum(float(model.vectors[toxicity.grams_of([w])[0]].mean(axis=0) @ turn) for w in part) / len(part)
+            best = margin if best is None else max(best, margin)
+        want = 1 / (1 + np.exp(-(model.bias + (model.scale * best if words else 0))))
+        assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_few_labels_teach_enough():
+    rows, marks = insulting(320, seed=3)
+    fresh, truth = insulting(300, seed=4)
+    model = toxicity.train([toxicity.words_of(x) for _, x in rows], np.array([t for *_, t in marks], dtype=np.float32))
+    found = toxicity.Scorer(model).scores([x for _, x in fresh]) >= 0.5
+    toxic = np.array([t for *_, t in truth]) == 1
+    assert found[toxic].mean() > 0.9 and found[~toxic].mean() < 0.05
 
 
 def test_toxicity_of_odd_documents(spark):
