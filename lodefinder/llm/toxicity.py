@@ -5,9 +5,9 @@ still shares most of its vectors with the word it hides. A text's distinct words
 window's vector is the mean over its words, and a linear softmax scores it. Vectors, softmax weights and bias are
 trained together by gradient descent with one rate: each window is an example with its text's label, so n-grams that
 both kinds of text hold end up at the base rate, and one that few texts hold moves little; decay keeps all small. A
-text's margin is that of its most toxic window, so a long text does not dilute a short insult. What margin makes a
-toxic label likelier than not is fitted by logistic regression on margins of texts that the model had not seen, in
-folds of the training rows. Training takes a bounded sample of labelled rows; every document is scored whole.
+text's margin is that of its most toxic window, so a long text does not dilute a short insult. One such model is
+trained without each fold of the training rows; what margin makes a toxic label likelier than not is fitted by
+logistic regression on the margins of the rows that a model had not seen, and the models' mean scores all texts. Training takes a bounded sample of labelled rows; every document is scored whole.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from lodefinder.llm.common import map_text
 #: Labelled rows that training may use at most (the smallest hashes of their ids).
 TRAIN_DOCS = 3_000
 BUCKETS, DIM, GRAMS, WINDOW = 1 << 18, 8, (3, 4, 5), 4
-EPOCHS, BATCH, RATE, DAMPING, DECAY, FOLDS = 4, 64, 1.0, 0.03, 1e-3, 3
+EPOCHS, BATCH, RATE, DAMPING, DECAY, FOLDS = 4, 64, 1.0, 0.03, 1e-3, 5
 CACHE_SIZE = 1_000_000
 #: What is stripped from the ends of words; inside a word any character counts, as misspellings use digits and symbols.
 OUTER = ".,;:!?\"'()[]{}<>«»“”‘’„…-–—_/\\|"
@@ -99,7 +99,7 @@ class Bags:
         """Places of the n-grams of the used words, one word's after the other's."""
         return spread(self.first[used], self.size[used])
 
-    def margins(self, vectors: np.ndarray, weights: np.ndarray, which: np.ndarray) -> np.ndarray:
+    def margins(self, vectors: np.ndarray, weights: np.ndarray, bias: float, which: np.ndarray) -> np.ndarray:
         """The margin of the most toxic window of each text; none may be empty."""
         along, out = vectors @ (weights[:, 1] - weights[:, 0]), []
         for part in np.array_split(which, max(1, len(which) // 500)):
@@ -110,11 +110,11 @@ class Bags:
             logit = (np.add.reduceat(along[self.grams[self.of_words(used)]], begin) / self.size[used])[at]
             starts, wide, opens = windows(np.array([len(self.docs[i]) for i in part]))
             out.append(np.maximum.reduceat(np.add.reduceat(logit, starts) / wide, opens))
-        return np.concatenate(out) if out else np.zeros(0)
+        return np.concatenate(out) + bias if out else np.zeros(0)
 
 
-def descend(bags: Bags, labels: np.ndarray, which: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors and softmax weights after EPOCHS of joint gradient descent over the windows of the texts in which."""
+def descend(bags: Bags, labels: np.ndarray, which: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, float]:
+    """Vectors, softmax weights and the toxic class's bias over the other's after EPOCHS of joint gradient descent over the windows of the texts in which."""
     vectors = ((rng.random((BUCKETS, DIM)) - 0.5) / DIM).astype(np.float32)
     weights = ((rng.random((DIM, 2)) - 0.5) * 2 / np.sqrt(DIM)).astype(np.float32)
     bias, place_of = np.zeros(2, dtype=np.float32), np.full(BUCKETS, -1, dtype=np.int32)
@@ -149,7 +149,7 @@ def descend(bags: Bags, labels: np.ndarray, which: np.ndarray, rng: np.random.Ge
             vectors[rows] -= rate * ((of_row @ weights.T / (curve + DAMPING)[:, None]).astype(np.float32) + DECAY * vectors[rows])
             weights -= rate * (step.astype(np.float32) + DECAY * weights)
             bias -= rate * delta.mean(axis=0)
-    return vectors, weights
+    return vectors, weights, float(bias[1] - bias[0])
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -176,12 +176,16 @@ def train(texts: Iterable[list[str]], labels: np.ndarray, seed: int = 7) -> Mode
     for y in (0, 1):  # each fold gets its part of either label
         of = np.flatnonzero(known == y)
         fold[rng.permutation(of)] = np.arange(len(of)) % FOLDS
-    unseen = np.zeros(len(filled))
+    unseen, made = np.zeros(len(filled)), []
     for k in range(FOLDS):
-        if (held := fold == k).any() and not held.all():
-            unseen[held] = bags.margins(*descend(bags, labels, filled[~held], rng), filled[held])
+        held = fold == k
+        made.append(descend(bags, labels, filled[~held], rng))
+        unseen[held] = bags.margins(*made[-1], filled[held])
     scale, bias = logistic(unseen, known)
-    return Model(*descend(bags, labels, filled, rng), max(scale, 0.0), bias)
+    # the mean of the models is one with their vectors side by side
+    vectors, weights = np.concatenate([v for v, _, _ in made], axis=1), np.concatenate([w for _, w, _ in made]) / FOLDS
+    scale = max(scale, 0.0)
+    return Model(vectors, weights, scale, bias + scale * float(np.mean([b for _, _, b in made])))
 
 
 def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:

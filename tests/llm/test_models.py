@@ -54,7 +54,7 @@ def test_vectors_and_softmax_are_trained_together():
     first = np.random.default_rng(1)
     first.random((toxicity.BUCKETS, toxicity.DIM))
     start = (first.random((toxicity.DIM, 2)) - 0.5) * 2 / np.sqrt(toxicity.DIM)
-    vectors, weights = toxicity.descend(bags, y, np.arange(300), np.random.default_rng(1))
+    vectors, weights, _ = toxicity.descend(bags, y, np.arange(300), np.random.default_rng(1))
     assert np.abs(weights - start).max() > 0.01 and np.abs(vectors).max() > 10 * 0.5 / toxicity.DIM
     assert np.linalg.svd(vectors[np.unique(bags.grams)], compute_uv=False)[1] > 0.5
 
