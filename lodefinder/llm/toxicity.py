@@ -173,9 +173,8 @@ def train(texts: Iterable[list[str]], labels: np.ndarray, seed: int = 7) -> Mode
     if min(known.sum(), (1 - known).sum()) < 1:
         return Model(np.zeros((1, DIM), dtype=np.float32).repeat(BUCKETS, axis=0), np.zeros((DIM, 2), dtype=np.float32), 0.0, float(np.log(share / (1 - share))))
     fold = np.zeros(len(filled), dtype=np.int64)
-    for y in (0, 1):  # each fold gets its part of either label
-        of = np.flatnonzero(known == y)
-        fold[rng.permutation(of)] = np.arange(len(of)) % FOLDS
+    dealt = np.concatenate([rng.permutation(np.flatnonzero(known == y)) for y in (0, 1)])  # each fold gets its part of either label
+    fold[dealt] = np.arange(len(dealt)) % FOLDS
     unseen, made = np.zeros(len(filled)), []
     for k in range(FOLDS):
         held = fold == k
