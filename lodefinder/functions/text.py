@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -12,7 +11,6 @@ from lodefinder.functions import vocab
 
 #: Borders of words made of ASCII letters, digits and underscores; \b would also count letters such as é.
 LEFT, RIGHT = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
-NOISE = "|".join(re.escape(w).replace(r"\ ", r"\s*").replace(r"\-", "-") for w in sorted(vocab.NOISE_WORDS, key=len, reverse=True))
 
 
 def trimmed(s: Column) -> Column:
@@ -27,7 +25,7 @@ def clean_title(raw: Column) -> Column:
     """Without bracketed parts, noise words and decoration; white space squeezed."""
     s = F.regexp_replace(raw, r"\[[^\]]*\]", " ")
     s = F.regexp_replace(s, r"\([^)]*\)", " ")
-    s = F.regexp_replace(s, f"(?i){LEFT}(?:{NOISE}){RIGHT}", " ")
+    s = F.regexp_replace(s, f"(?i){LEFT}(?:{vocab.NOISE}){RIGHT}", " ")
     return squeezed(F.regexp_replace(s, f"[{vocab.DECORATION}]+", " "))
 
 
@@ -96,6 +94,11 @@ def similarity(a: Column, b: Column) -> Column:
     return folded_similarity(folded(a), folded(b))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once for each row, however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def role_instrument(role: Column) -> Column:
     text, chain = F.lower(role), None
     for part, name in vocab.ROLES:
@@ -115,10 +118,9 @@ def _hinted(text: Column, table: dict[str, list[str]]) -> Column:
 
 def mood(text: Column, tags: Column) -> Column:
     """struct(energy, feels, textures) from hints in the text and its tags; energy is never set."""
-    all_text = F.lower(F.concat_ws(" ", text, tags))
-    return F.struct(F.lit(None).cast("int").alias("energy"), _hinted(all_text, vocab.FEELS).alias("feels"), _hinted(all_text, vocab.TEXTURES).alias("textures"))
+    energy = F.lit(None).cast("int").alias("energy")
+    return bound(F.lower(F.concat_ws(" ", text, tags)), lambda x: F.struct(energy, _hinted(x, vocab.FEELS).alias("feels"), _hinted(x, vocab.TEXTURES).alias("textures")))
 
 
 def instruments_in(text: Column) -> Column:
-    low = F.lower(text)
-    return F.array_compact(F.array(*(F.when(low.contains(i.lower()), i) for i in vocab.INSTRUMENTS)))
+    return bound(F.lower(text), lambda low: F.array_compact(F.array(*(F.when(low.contains(i.lower()), i) for i in vocab.INSTRUMENTS))))

@@ -55,6 +55,18 @@ def range_of(low: Column, high: Column) -> Column:
     return F.when(~(blank(low) & blank(high)), F.struct(number(low, 0.0).alias("lo"), number(high, 9999.0).alias("hi")))
 
 
+def year_range_of(text: Column) -> Column:
+    """range_of of what stands before and after the first hyphen of 'lo-hi'; what is missing counts as blank."""
+    parts = F.split(F.coalesce(text, F.lit("")), "-")
+    part = lambda i: F.coalesce(F.try_element_at(parts, F.lit(i)), F.lit(""))
+    return range_of(part(1), part(2))
+
+
+def relayed(content_type: Column, body: Column) -> Column:
+    """What a relay hands on: JSON as it is, any other text as an object with the text under 'raw'."""
+    return F.when(F.coalesce(content_type, F.lit("")).contains("json"), body).otherwise(F.to_json(F.struct(body.alias("raw"))))
+
+
 def host_of(url: Column) -> Column:
     return F.lower(matched(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"))
 

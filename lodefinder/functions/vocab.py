@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-# Fixed values. Words that say nothing about a recording; a space stands for any run of white space, also none.
-NOISE_WORDS = [
-    "hq", "hd", "4k", "full album", "full lp", "vinyl rip", "vinyl", "lp", "ep", "official", "audio", "video", "music video",
-    "lyric", "lyrics", "remaster", "remastered", "reissue", "hi-fi", "hi fi", "hifi", "rare", "classic",
-]
+# Fixed values. Words that say nothing about a recording, as one pattern.
+NOISE = r"hq|hd|4k|full\s*album|full\s*lp|vinyl\s*rip|vinyl|lp|ep|official|audio|video|music\s*video|lyrics?|remaster(ed)?|reissue|hi[- ]?fi|rare|classic"
 
 # Fixed values. Decoration: pipe, slash, tilde, bullet, middle dot, stars, notes, arrows.
 DECORATION = "|/~•·★☆♪♫➤▶"
@@ -62,8 +59,8 @@ WEIGHTS = {"filter_match": 0.24, "rarity": 0.16, "obscurity": 0.16, "richness":
 GOLDEN_YEARS = [(1968, 1979), (1980, 1986)]
 
 # Fixed values. Lowest totals of the tiers.
-TIERS = [(85, "gem"), (70, "strong"), (55, "worth a listen")]
-LOWEST_TIER = "common"
+TIERS = [(85, "🔥 Hidden Gem"), (70, "✦ Strong dig"), (55, "Worth a listen")]
+LOWEST_TIER = "Deep cut"
 
 # Fixed values. Hosts that may be fetched from.
 ALLOWED_HOSTS = ["api.discogs.com", "musicbrainz.org", "archive.org"]

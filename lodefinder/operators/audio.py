@@ -24,6 +24,13 @@ def key_templates() -> list[list[float]]:
     return rows
 
 
+def chroma_profile(frames: Column) -> Column:
+    """The mean of each pitch class over frames (array of arrays of 12), divided by the sum of all where that is above 0."""
+    pitches = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.aggregate(F.transform(frames, lambda f: f[i].cast("double")), F.lit(0.0), lambda a, x: a + x) / F.size(frames))
+    total = lambda p: F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(F.array(pitches), lambda p: F.when(total(p) > 0, F.transform(p, lambda x: x / total(p))).otherwise(p))[0]
+
+
 KEYS = [f"{p} {mode}" for p in vocab.PITCHES for mode in ("major", "minor")]
 
 

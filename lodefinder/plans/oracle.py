@@ -6,7 +6,6 @@ from lodefinder.functions import vocab
 from lodefinder.operators.audio import KEYS, key_templates
 from lodefinder.sources import tables
 
-NOISE = "|".join(w.replace(" ", r"\s*") for w in sorted(vocab.NOISE_WORDS, key=len, reverse=True))
 AS_OF = f"TIMESTAMP '{tables.AS_OF} 00:00:00'"
 
 
@@ -48,7 +47,7 @@ def squeezed(x: str) -> str:
 def cleaned(x: str) -> str:
     x = rf"regexp_replace({x}, '\[[^\]]*\]', ' ', 'g')"
     x = rf"regexp_replace({x}, '\([^)]*\)', ' ', 'g')"
-    x = rf"regexp_replace({x}, '(?i)\b(?:{NOISE})\b', ' ', 'g')"
+    x = rf"regexp_replace({x}, '(?i)\b(?:{vocab.NOISE})\b', ' ', 'g')"
     return squeezed(f"regexp_replace({x}, '[{vocab.DECORATION}]+', ' ', 'g')")
 
 

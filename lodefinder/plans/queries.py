@@ -108,6 +108,23 @@ def range_parse(spark, sf_dir):
     return raw.select("id", r["lo"].alias("lo"), r["hi"].alias("hi"))
 
 
+YEARS = "CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '1970-1979' WHEN 2 THEN '1985' WHEN 3 THEN '-1990' ELSE '1960-x-1990' END"
+
+
+@query(f"SELECT id, CASE WHEN lo <> '' OR hi <> '' THEN coalesce(nullif(try_cast(lo AS DOUBLE), 0), 0) END AS lo, CASE WHEN lo <> '' OR hi <> '' THEN coalesce(nullif(try_cast(hi AS DOUBLE), 0), 9999) END AS hi FROM (SELECT p_partkey AS id, split_part({YEARS}, '-', 1) AS lo, split_part({YEARS}, '-', 2) AS hi FROM part)")
+def year_range(spark, sf_dir):
+    r = values.year_range_of(F.col("years"))
+    return t(spark, sf_dir, "part").selectExpr("p_partkey AS id", f"{YEARS} AS years").select("id", r["lo"].alias("lo"), r["hi"].alias("hi"))
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN '{"name":"' || p_name || '"}' ELSE '{"raw":"' || p_name || '"}' END AS payload FROM part""")
+def relay_payload(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    kind = F.when(k == 0, "application/json; charset=utf-8").when(k == 1, "text/html")
+    body = F.when(k == 0, F.concat(F.lit('{"name":"'), "p_name", F.lit('"}'))).otherwise(F.col("p_name"))
+    return t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), values.relayed(kind, body).alias("payload"))
+
+
 # scalar functions
 
 
@@ -385,6 +402,15 @@ def key_estimate(spark, sf_dir):
     return t(spark, sf_dir, "embeddings").select("vec_id", audio.key_estimate(profile).alias("k")).select("vec_id", "k.key", "k.confidence")
 
 
+@query("""WITH m AS (SELECT vec_id, [list_sum([abs(embedding[12 * k + i]::DOUBLE) FOR k IN range(0, 5)]) / 5 FOR i IN range(1, 13)] AS p FROM embeddings)
+SELECT vec_id, unnest(range(0, 12))::INTEGER AS pitch, round(unnest(CASE WHEN list_sum(p) > 0 THEN [x / list_sum(p) FOR x IN p] ELSE p END), 9) AS share FROM m""")
+def chroma_mean(spark, sf_dir):
+    """Five frames of twelve pitch classes to one profile."""
+    frames = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.transform(F.slice("embedding", k * 12 + 1, 12), lambda x: F.abs(x.cast("double"))))
+    made = t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(audio.chroma_profile(frames)).alias("pitch", "share"))
+    return made.select("vec_id", "pitch", F.round("share", 9).alias("share"))
+
+
 @query("""WITH h AS (SELECT event_type, date_trunc('hour', ts) AS hour, count(*)::DOUBLE AS n FROM events GROUP BY ALL), s AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY hour) AS i FROM h),
 ac AS (SELECT a.event_type, b.i - a.i AS lag, sum(a.n * b.n) AS v FROM s a JOIN s b ON a.event_type = b.event_type AND b.i >= a.i GROUP BY ALL)
 SELECT event_type, round(0.5 + 0.5 * least(1.0, greatest(0.0, max(v) FILTER (WHERE lag > 0) / (max(v) FILTER (WHERE lag = 0) + 1e-9))), 2) AS confidence FROM ac GROUP BY event_type""")

@@ -22,12 +22,9 @@ def first_per_source(items: DataFrame, n: int) -> DataFrame:
 
 
 def containing(items: DataFrame, query_text: str) -> DataFrame:
-    """Items whose folded title holds every word of the query: in place of a remote index."""
-    folded = text.folded(F.col("title"))
-    out = items
-    for word in query_text.lower().split():
-        out = out.filter(folded.contains(word))
-    return out
+    """Items whose title holds every word of the query, both folded: in place of a remote index."""
+    words = F.split(text.folded(F.lit(query_text)), r"\s+")  # a constant, so Spark folds it once
+    return items.filter(text.bound(text.folded(F.col("title")), lambda title: F.forall(words, lambda w: title.contains(w))))
 
 
 def discovered(spark: SparkSession, sf_dir: str, q: SearchQuery, per_source: int | None = PER_SOURCE) -> DataFrame:

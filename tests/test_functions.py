@@ -175,3 +175,11 @@ def test_bands_lose_no_match(spark):
     got = {(r.f, r.g) for r in linkage.text_pairs(texts, texts).collect()}
     pairs = df.select("f").join(df.select(F.col("f").alias("g")), F.lit(True)).select("f", "g", text.folded_similarity(F.col("f"), F.col("g")).alias("s"))
     assert got == {(r.f, r.g) for r in pairs.filter(F.col("s") >= vocab.MATCH).collect()}
+
+
+def test_search_folds_the_query(spark):
+    from lodefinder.plans.search import containing
+
+    items = spark.createDataFrame([(1, "Bränd#7 - Steel Song"), (2, "Brand 8"), (3, None)], "id long, title string")
+    found = lambda q: sorted(r.id for r in containing(items, q).collect())
+    assert found("Brand") == found("bränd") == [1, 2] and found("brand#7") == [1] and found("steel-song BRAND") == [1] and found("#") == [1, 2]
