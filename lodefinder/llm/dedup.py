@@ -43,6 +43,8 @@ PIVOT_ROUNDS, BLOCK, BLOCK_SHINGLES = 1, 1024, 1 << 19
 FAR, AGREE = 63, 146
 #: 64-bit numbers that hold a bit of each slot.
 WORDS = -(-BANDS * ROWS // 64)
+#: Edges for each task of a union-find pass.
+EDGES = 1 << 18
 CACHE_SIZE = 200_000
 U64 = np.uint64
 UNSET = np.uint32(0xFFFFFFFF)
@@ -213,7 +215,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b): component is the smallest node it can reach.
 
     Rounds of union-find within partitions, then large-star and small-star steps across them (Kiveris et al. 2014),
-    until every node points to its smallest only; each round's edges are written to the shared folder.
+    until every node points to its smallest only; each round's edges are written to the shared folder. Partitions hold
+    about EDGES edges each, so few edges need few tasks, and those of one partition are settled by its union-find
+    alone. edges are counted first and should be a staged table.
     """
 
     def star(links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -226,15 +230,18 @@ def components(edges: DataFrame) -> DataFrame:
         ends = links.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(links.select("b", F.lit(0), F.lit(1)))
         return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out > 1 OR (out = 1 AND into = 1)")
 
-    now = staged(contract(edges), "links")
-    while not unsettled(now).isEmpty():
+    parts = -(-edges.count() // EDGES)
+    if not parts:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
+    now = staged(contract(edges.coalesce(parts)), "links")
+    while parts > 1 and not unsettled(now).isEmpty():
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
         large, _ = star(both)
         large = large.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         down = large.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
         small, low = star(down)
         small = small.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        now = staged(contract(small.filter("a <> b").distinct()), "links")
+        now = staged(contract(small.filter("a <> b").distinct().coalesce(parts)), "links")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
 
 
@@ -383,7 +390,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # rows with one id but different texts are one node: nothing to link, as their classes carry the same name
     own = classes.filter("rep < last").select("key", "rep")
     members = named.join(own, "key").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-    groups = components(members.limit(0) if repeated.isEmpty() else members)
+    groups = components(members.limit(0) if repeated.isEmpty() else staged(members, "members"))
 
     for step in range(PIVOT_ROUNDS + 2):
         held = shared.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))

@@ -89,8 +89,6 @@ def copies_of(docs: DataFrame) -> DataFrame:
     held = near.select("content", "class").distinct()
     low = held.groupBy("content").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
     edges = staged(held.join(low, "content").filter("class <> low").select(F.col("class").alias("a"), F.col("low").alias("b")).distinct(), "links")
-    if edges.isEmpty():
-        return near.select("text_key", "class")
     merged = dedup.components(edges).select(F.col("node").alias("class"), "component")
     return near.join(merged, "class", "left").select("text_key", F.coalesce("component", "class").alias("class"))
 

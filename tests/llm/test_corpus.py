@@ -120,7 +120,9 @@ def test_signatures():
         assert np.mean(found) == pytest.approx(share, abs=0.02)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("limit", [dedup.EDGES, 20])
+def test_components(spark, monkeypatch, limit):
+    monkeypatch.setattr(dedup, "EDGES", limit)
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2)) if a != b] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, 2001 + i) for i in range(50)]
     parent = {x: x for e in edges for x in e}
