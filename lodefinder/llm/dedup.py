@@ -43,6 +43,8 @@ PIVOT_ROUNDS, BLOCK, BLOCK_SHINGLES = 1, 1024, 1 << 19
 FAR, AGREE = 63, 146
 #: 64-bit numbers that hold a bit of each slot.
 WORDS = -(-BANDS * ROWS // 64)
+#: Bands of sketches that are compared without their sets: of similarity 0.75, 1 pair in 900 shares no bucket.
+SKETCH_BANDS = 25
 #: Edges for each task of a union-find pass.
 EDGES = 1 << 18
 CACHE_SIZE = 200_000
@@ -142,6 +144,18 @@ def bits_of(signatures: np.ndarray) -> np.ndarray:
     return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.int64)
 
 
+def sketch_of(texts: list[str | None], bands: int = SKETCH_BANDS) -> list:
+    """For each text: how many shingles it has, its buckets (none without shingles), the lowest bytes of its slots."""
+    n, buckets, slots = [], [], []
+    for lo in range(0, len(texts), 250):
+        sets = [shingle_set(x) for x in texts[lo : lo + 250]]
+        made = super_minhash(sets, bands * ROWS)
+        n += [len(s) for s in sets]
+        buckets += [b if len(s) else [] for s, b in zip(sets, bands_of(made, bands), strict=True)]
+        slots += [x.tobytes() for x in made.astype(np.uint8)]
+    return [n, buckets, slots]
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n_shingles, key, bands): key is a 128-bit hash of the set, null for an empty one, which has no bands."""
 
@@ -267,8 +281,10 @@ def links_in_block(rest: dict[str, np.ndarray], rows: dict[str, np.ndarray], buc
     """Links of rows of rest with rows of other groups, verified where this bucket is the pair's first common one.
 
     rows: their sets lie in a row in "flat", from "first" on, "n" shingles each. One link for each row and group.
+    Without sets, the share of slots that agree decides, in each bucket that a pair shares.
     """
-    found, band = [], int(np.argmax(rows["bands"][0] == bucket)) if len(rows["rep"]) else 0
+    exact = "flat" in rows
+    found, band = [], int(np.argmax(rows["bands"][0] == bucket)) if exact and len(rows["rep"]) else 0
     for lo in range(0, len(rest["rep"]), 64):
         x = {k: v[lo : lo + 64] for k, v in rest.items() if k != "flat"}
         n, m = x["n"][:, None], rows["n"][None, :]
@@ -276,6 +292,11 @@ def links_in_block(rest: dict[str, np.ndarray], rows: dict[str, np.ndarray], buc
         may &= ~rows["rest"][None, :] | (x["rep"][:, None] < rows["rep"][None, :])  # two of the rest meet twice
         for i in np.flatnonzero(may.any(axis=1)):
             j = np.flatnonzero(may[i])
+            if not exact:
+                j = j[100 * (x["slots"][i] == rows["slots"][j]).sum(axis=1, dtype=np.int32) >= percent * rows["slots"].shape[1]]
+                _, one = np.unique(rows["component"][j], return_index=True)
+                found += [(int(x["rep"][i]), int(rows["rep"][q])) for q in j[one]]
+                continue
             j = j[np.bitwise_count(x["bits"][i] ^ rows["bits"][j]).sum(axis=1, dtype=np.int32) <= FAR]
             j = j[(x["slots"][i] == rows["slots"][j]).sum(axis=1, dtype=np.int32) >= AGREE]
             j = j[np.argmax(x["bands"][i] == rows["bands"][j], axis=1) == band]
@@ -297,7 +318,11 @@ def links_in_block(rest: dict[str, np.ndarray], rows: dict[str, np.ndarray], buc
 
 
 def links_of_mixed(rows: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b), verified, among rows (bucket, rep, component, n, variant) of mixed buckets; whole: (rep, variant, set, slots, bands)."""
+    """Links (a, b), verified, among rows (bucket, rep, component, n, variant) of mixed buckets.
+
+    whole: (rep, variant, set, slots, bands), or (rep, variant, slots) where slots alone decide.
+    """
+    exact = "set" in whole.columns
     sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.sum("n").alias("n")).groupBy("bucket")
     sizes = sizes.agg(F.max_by("component", F.struct("k", "component")).alias("home"), F.sum("k").alias("all_k"), F.sum("n").alias("all_n"), F.max(F.struct("k", "component", "n")).alias("h"))
     blocks = lambda k, n: F.greatest(F.ceil(k / BLOCK), F.ceil(n / BLOCK_SHINGLES)).cast("int")
@@ -317,8 +342,9 @@ def links_of_mixed(rows: DataFrame, whole: DataFrame, percent: int) -> DataFrame
     def columns(table: pa.Table) -> dict[str, np.ndarray]:
         got = {c: table.column(c).to_numpy() for c in ("bucket", "rep", "component", "n", "rest", "asks")}
         got["slots"] = np.frombuffer(b"".join(table.column("slots").to_pylist()), dtype=np.uint8).reshape(len(table), -1)
-        got["bands"] = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(table), -1)
-        got["bits"] = bits_of(got["slots"]).view(np.uint64)
+        if exact:
+            got["bands"] = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(table), -1)
+            got["bits"] = bits_of(got["slots"]).view(np.uint64)
         got["first"] = np.cumsum(got["n"], dtype=np.int64) - got["n"]
         return got
 
@@ -326,11 +352,11 @@ def links_of_mixed(rows: DataFrame, whole: DataFrame, percent: int) -> DataFrame
         key = np.stack([table.column(c).to_numpy() for c in ("bucket", "i", "j")])
         cuts = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
         got, found = columns(table), []
-        flat = table.column("set").combine_chunks().flatten().to_numpy().view(np.uint64)
+        sets = {"flat": table.column("set").combine_chunks().flatten().to_numpy().view(np.uint64)} if exact else {}
         for lo, hi in zip(cuts, [*cuts[1:], len(table)], strict=True):
             part = {k: v[lo:hi] for k, v in got.items()}
             asks = part["asks"]
-            found += links_in_block({k: v[asks] for k, v in part.items()} | {"flat": flat}, {k: v[~asks] for k, v in part.items()} | {"flat": flat}, part["bucket"][0], percent)
+            found += links_in_block({k: v[asks] for k, v in part.items()} | sets, {k: v[~asks] for k, v in part.items()} | sets, part["bucket"][0], percent)
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     def key_at(table: pa.Table, i: int) -> tuple:
@@ -357,6 +383,51 @@ def links_of_mixed(rows: DataFrame, whole: DataFrame, percent: int) -> DataFrame
     return dealt.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def agreeing(pairs: DataFrame, slots: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of which enough slots agree; slots: (rep, slots)."""
+    both = pairs.join(slots.select(F.col("rep").alias("a"), F.col("slots").alias("slots_a")), "a").join(slots.select(F.col("rep").alias("b"), F.col("slots").alias("slots_b")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(len(batch), -1) for i in (2, 3))
+                yield batch.select(["a", "b"]).filter(pa.array(100 * (x == y).sum(axis=1) >= percent * x.shape[1]))
+
+    return both.select("a", "b", "slots_a", "slots_b").mapInArrow(run, "a long, b long")
+
+
+def sketch_groups(sketched: DataFrame, known: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, component) by sketches alone: for counts of distinct documents, which bear an estimate of similarity.
+
+    sketched: (id, n, bands, slots) of documents, whose repeated ids have one text; known: a staged table of edges
+    (a, b) that hold anyway. The steps are those of near_duplicates, but the share of slots that agree stands for the
+    similarity (its deviation is below 0.04), so neither texts nor sets are shuffled or written. Nodes without any
+    link may be absent.
+    """
+    rows = sketched.select(F.explode("bands").alias("bucket"), F.col("id").alias("rep")).distinct()
+    ranges = rows.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
+    shared = staged(rows.join(ranges.select("bucket"), "bucket", "left_semi"), "shared")
+    slots = sketched.select(F.col("id").alias("rep"), F.col("n").cast("long").alias("n"), "slots").join(shared.select("rep").distinct(), "rep", "left_semi")
+    slots = staged(slots.dropDuplicates(["rep"]), "slots")
+    groups = components(known)
+    for step in range(PIVOT_ROUNDS + 2):
+        held = shared.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        order = F.col("rep") if step == 0 else F.xxhash64("rep", F.lit(step))
+        mixed = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(order.alias("order"), "rep", "component")).alias("p")).filter("low < high")
+        last = step == PIVOT_ROUNDS + 1
+        if not last:
+            pivots = mixed.select("bucket", F.col("p.rep").alias("pivot_rep"), F.col("p.component").alias("pivot_component"))
+            found = staged(agreeing(one_each(held.join(pivots, "bucket").filter("component <> pivot_component")), slots, percent), "links")
+            last = found.isEmpty()
+        if last:
+            open_rows = held.join(mixed.select("bucket"), "bucket", "left_semi").join(slots.select("rep", "n"), "rep").select("bucket", "rep", "component", "n", F.lit(0).alias("variant"))
+            found = staged(links_of_mixed(staged(open_rows, "mixed"), slots.select("rep", F.lit(0).alias("variant"), "slots"), percent), "links")
+        if not found.isEmpty():
+            groups = components(groups.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
+        if last:
+            return groups
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of docs.
 

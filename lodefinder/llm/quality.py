@@ -3,8 +3,9 @@
 A line is normalised (A-Z lower-cased, digits to 0, runs of white space to one space) and hashed. For each source
 (the host of a document) and line, the distinct documents that hold it are counted, over all documents; documents
 with the same set of lines and near-duplicates are copies and count once, else a copied text would make boilerplate of
-itself. Near-duplicates are sought among the documents that hold a line with enough distinct sets of lines, as no
-other line can have enough documents; a chain of near-duplicates ends at a document without such a line. Lines in more than LINE_DOCS distinct documents of their source, however large it is, are boilerplate and are
+itself. Near-duplicates are sought among all documents, by sketches that the first pass over the texts makes: the share
+of slots of two SuperMinHash signatures that agree estimates their similarity, so no text or set is shuffled. Lines in
+more than LINE_DOCS distinct documents of their source, however large it is, are boilerplate and are
 removed; a document whose remaining words are fewer than LEFT_WORDS, or less than LEFT_SHARE of its words, is
 depleted.
 """
@@ -81,16 +82,16 @@ def line_hashes(text: str) -> tuple[list[int], list[int]]:
     return hashed.tolist(), list(words.values())
 
 
-def copies_of(docs: DataFrame) -> DataFrame:
-    """(text_key, class) for rows (text_key, content, text): one class for what near-duplicates and equal contents link, over any number of steps."""
-    contents = docs.select("text_key", "content").distinct()
-    near = dedup.near_duplicates(docs, "text_key", "text").select("text_key", F.col("component_id").alias("class")).distinct()
-    near = staged(near.join(contents, "text_key"), "copies")
-    held = near.select("content", "class").distinct()
-    low = held.groupBy("content").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
-    edges = staged(held.join(low, "content").filter("class <> low").select(F.col("class").alias("a"), F.col("low").alias("b")).distinct(), "links")
-    merged = dedup.components(edges).select(F.col("node").alias("class"), "component")
-    return near.join(merged, "class", "left").select("text_key", F.coalesce("component", "class").alias("class"))
+def copies_of(base: DataFrame) -> DataFrame:
+    """(text_key, class) for rows (text_key, content, n, bands, slots): one class for what near-duplicates and equal contents link, over any number of steps.
+
+    A text without any link may be absent; it is a class of its own.
+    """
+    contents = base.filter("n > 0").select("text_key", "content").distinct()
+    low = contents.groupBy("content").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).filter("low < high")
+    equal = contents.join(low, "content").filter("text_key <> low").select(F.col("text_key").alias("a"), F.col("low").alias("b"))
+    groups = dedup.sketch_groups(base.select(F.col("text_key").alias("id"), "n", "bands", "slots"), staged(equal, "links"))
+    return groups.select(F.col("node").alias("text_key"), F.col("component").alias("class"))
 
 
 def quality(docs: DataFrame, keep: list[str], text_col: str = "text", source_col: str = "source", names: dict[str, str] | None = None) -> DataFrame:
@@ -100,17 +101,19 @@ def quality(docs: DataFrame, keep: list[str], text_col: str = "text", source_col
     rules; documents with a null source form a source of their own. names renames result columns that would clash.
     """
     names = {n: (names or {}).get(n, n) for n in [*FIELDS, "n_line_words", "base_failed", "kept"]}
-    key, lines, counts, source = (fresh(n, [*docs.columns, *names.values()]) for n in ("text_key", "line_hashes", "line_words", "line_source"))
+    made = ("text_key", "line_hashes", "line_words", "line_source", "n_shingles", "bands", "slots")
+    key, lines, counts, source, *sketch = (fresh(n, [*docs.columns, *names.values()]) for n in made)
 
     def start():
         def compute(texts):
             base = [base_of(x) for x in texts]
             found = [line_hashes(x) if x else ([], []) for x in texts]
-            return [*([b[i] for b in base] for i in range(5)), [f[0] for f in found], [f[1] for f in found]]
+            return [*([b[i] for b in base] for i in range(5)), [f[0] for f in found], [f[1] for f in found], *dedup.sketch_of(texts)]
 
         return compute
 
     fields = [(names[n], T.LongType()) for n in FIELDS] + [(lines, T.ArrayType(T.LongType())), (counts, T.ArrayType(T.LongType()))]
+    fields += list(zip(sketch, (T.LongType(), T.ArrayType(T.LongType()), T.BinaryType()), strict=True))
     # a text's hash stands for the document: rows with one text are copies, whatever their ids
     keyed = docs.withColumn(source, F.xxhash64(F.coalesce(F.col(source_col), F.lit("\0")))).withColumn(key, F.xxhash64(text_col))
     base = staged(map_text(keyed, text_col, [*keep, source, key], fields, start), "quality")
@@ -119,16 +122,14 @@ def quality(docs: DataFrame, keep: list[str], text_col: str = "text", source_col
     long = long.select("text_key", "source", "content", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
     # classes merge contents, so only lines with enough contents can have enough classes
     often = staged(long.select("source", "line", "content").distinct().groupBy("source", "line").agg(F.count("*").alias("n")).filter(F.col("n") > LINE_DOCS).select("source", "line"), "lines")
-    # only the documents that hold such a line need a class
-    hits = staged(long.join(often, ["source", "line"]).groupBy("text_key", "source", "content").agg(F.collect_set("line").alias("lines")), "hits")
-    if not hits.isEmpty():
-        asked = hits.select(F.col("text_key").alias(key), "content").distinct()
-        texts = keyed.select(key, F.col(text_col).alias("text")).join(asked, key).select(F.col(key).alias("text_key"), "content", "text")
-        held = hits.join(copies_of(texts), "text_key").select("source", F.explode("lines").alias("line"), "class").distinct()
+    if not often.isEmpty():
+        hits = long.join(often, ["source", "line"]).groupBy("text_key", "source").agg(F.collect_set("line").alias("lines"))
+        copies = copies_of(base.select(F.col(key).alias("text_key"), content, *(F.col(c).alias(n) for c, n in zip(sketch, ("n", "bands", "slots"), strict=True))))
+        held = hits.join(copies, "text_key", "left").select("source", F.explode("lines").alias("line"), F.coalesce("class", "text_key").alias("class")).distinct()
         often = staged(held.groupBy("source", "line").agg(F.count("*").alias("n")).filter(F.col("n") > LINE_DOCS).select("source", "line"), "lines")
     once = long.join(often, ["source", "line"]).groupBy("text_key", "source", "line").agg(F.max("words").alias("words"))
     removed = once.groupBy(F.col("text_key").alias(key), F.col("source").alias(source)).agg(F.sum("words").alias(names["n_line_words"]))
-    out = base.drop(lines, counts).join(removed, [key, source], "left")
+    out = base.drop(lines, counts, *sketch).join(removed, [key, source], "left")
     n, gone, repeated = F.col(names["n_words"]), F.coalesce(names["n_line_words"], F.lit(0)).cast("long"), F.col(names["n_repeat_words"])
     failed = (n < MIN_WORDS) | (100 * repeated > REPEAT_PERCENT * n)
     depleted = (gone > 0) & ((n - gone < LEFT_WORDS) | (n - gone < LEFT_SHARE * n))
