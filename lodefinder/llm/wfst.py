@@ -31,7 +31,8 @@ from lodefinder.llm.common import map_text
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHE_SIZE = 1_000_000
+#: Parts of a generation of a worker's cache, and a quarter of its pairs. It changes no result.
+CACHE_SIZE = 200_000
 #: Above any state of the pair machine: piece ids, then characters without a piece.
 SIDE = 1 << 32
 
@@ -152,16 +153,22 @@ class Transducer:
 
 
 class Paths(dict):
-    """Shortest path of each part of a text, kept up to CACHE_SIZE parts."""
+    """Shortest path of each part of a text, kept in two generations of CACHE_SIZE parts.
+
+    Where the young one is full it becomes the old one, from which parts that come up again return.
+    """
 
     def __init__(self, machine: Transducer) -> None:
         super().__init__()
-        self.machine = machine
+        self.machine, self.old = machine, {}
 
     def __missing__(self, part: str) -> bytes:
-        ids = np.array(self.machine.shortest(part), dtype="<u4").tobytes()
+        ids = self.old.get(part)
+        if ids is None:
+            ids = np.array(self.machine.shortest(part), dtype="<u4").tobytes()
         if len(part) <= 64:
             if len(self) >= CACHE_SIZE:
+                self.old = dict(self)
                 self.clear()
             self[part] = ids
         return ids
