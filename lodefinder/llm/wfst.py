@@ -32,7 +32,7 @@ from lodefinder.llm.common import map_text
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Parts of a generation of a worker's cache, and a quarter of its pairs. It changes no result.
-CACHE_SIZE = 200_000
+CACHE_SIZE = 300_000
 #: Above any state of the pair machine: piece ids, then characters without a piece.
 SIDE = 1 << 32
 
