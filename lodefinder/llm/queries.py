@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodefinder.llm import dedup, mixing, ngram, quality, sstable, tokens, topk, toxicity, urls, wfst
+from lodefinder.llm import bpe, dedup, merkle, mixing, negatives, ngram, quality, sstable, tokens, topk, toxicity, urls, wfst
 from lodefinder.llm.common import read_table
 
 
@@ -51,6 +51,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_manifest(read_table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digest(read_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, label = read_table(spark, sf_dir, "embeddings"), F.col("label").cast("long")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = (
     op1_token_counts,
     op2_toxicity,
@@ -62,6 +76,9 @@ QUERIES = (
     op8_mixing,
     op9_url_filters,
     op10_quality_rules,
+    op11_merkle_manifest,
+    op12_byte_bpe,
+    op13_hard_negatives,
 )
 
 #: Words of a text as a list, A-Z lower-cased by translate (lower() would change other letters too).
@@ -127,4 +144,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; the others are tested against brute force, round trips or held-out labels."""
-    return {"op4_minhash_dedup": OP4_SQL, "op6_top_k": topk.ORACLE, "op10_quality_rules": OP10_SQL}
+    return {"op4_minhash_dedup": OP4_SQL, "op6_top_k": topk.ORACLE, "op10_quality_rules": OP10_SQL, "op13_hard_negatives": negatives.ORACLE}

@@ -28,12 +28,12 @@ def whole(column: str, scale: int) -> F.Column:
     return F.transform(column, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
 
 
-def usable(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, v): vectors with a finite value in every component and at least one component, in whole numbers."""
+def usable(df: DataFrame, id_col: str, vector_col: str, scale: int, *more: F.Column) -> DataFrame:
+    """(id, v) and more: vectors with a finite value in every component and at least one component, in whole numbers."""
     v = F.col(vector_col).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = df.filter(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~bad)
-    return good.select(F.col(id_col).cast("long").alias("id"), whole(vector_col, scale).alias("v"))
+    return good.select(F.col(id_col).cast("long").alias("id"), whole(vector_col, scale).alias("v"), *more)
 
 
 def blocks(vectors: DataFrame, size: int) -> DataFrame:

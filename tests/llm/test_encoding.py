@@ -1,5 +1,6 @@
 """Token counts, SentencePiece and token tables against the libraries."""
 
+import hashlib
 import random
 import zlib
 
@@ -7,9 +8,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import tiktoken
 from tokenizers import Tokenizer
 
-from lodefinder.llm import sstable, tokens, wfst
+from lodefinder.llm import bpe, sstable, tokens, wfst
 from lodefinder.llm.common import fresh_path, read_table
 from tests.llm.helpers import ROWS, no_docs, odd_docs
 
@@ -96,3 +98,41 @@ def test_token_table(spark, sf_dir, monkeypatch):
 def test_keys_sort_as_ids(ids):
     keys = [sstable.key_of(i) for i in ids]
     assert keys == sorted(keys) and [sstable.id_of(k) for k in keys] == ids
+
+
+def test_byte_pairs_equal_the_library(monkeypatch):
+    known = bpe.encoder_of(bpe.RANKS, public_tokenizers.PATTERN)
+    lib = tiktoken.Encoding("held", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known.ranks, special_tokens={})
+    rng = random.Random(6)
+    every = [f"x{chr(c)}x 1{chr(c)}1 !{chr(c)}! {chr(c)} " for c in [*range(0xD800), *range(0xE000, 0x3000), *range(0xE000, 0x10000, 3), *range(0x10000, 0x20000, 5)]]
+    mixed = ["".join(rng.choices("abcé ñ’“—…ЖяΣ日本語🎉'sS\n\t\x1c\x85 123%", k=rng.randint(1, 90))) for _ in range(3000)]
+    long = ["ab" * 20_000, "".join(rng.choices("abcdefgh", k=60_000)), " " * 3000 + "x"]
+    texts = ODD + random_texts(seed=5) + mixed + every + long
+    monkeypatch.setattr(bpe, "CACHE_SIZE", 500)
+    monkeypatch.setattr(bpe, "RUN_CHARS", 20_000)
+    small = bpe.Encoder(known.ranks, public_tokenizers.PATTERN)
+    for x, ids in zip(texts, small.encode(texts), strict=True):
+        assert ids.tolist() == lib.encode_ordinary(x), x[:80]
+        assert small.decode(ids) == x.encode()
+
+
+def test_byte_pairs_with_ranks_out_of_order():
+    """A merged pair may have a lower rank than its parts; then the lower goes first, as in the library."""
+    rng = random.Random(8)
+    for _ in range(30):
+        strings = {bytes(rng.choices(b"abc", k=rng.randint(2, 5))) for _ in range(25)}
+        numbers = rng.sample(range(256, 2000), len(strings))
+        ranks = {bytes([i]): i for i in range(256)} | dict(zip(sorted(strings), numbers, strict=True))
+        lib = tiktoken.Encoding("odd", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        texts = [bytes(rng.choices(b"abc", k=rng.randint(1, 40))).decode() for _ in range(50)]
+        assert [x.tolist() for x in bpe.Encoder(ranks, public_tokenizers.PATTERN).encode(texts)] == [lib.encode_ordinary(x) for x in texts]
+
+
+def test_byte_pair_query(spark):
+    lib = tiktoken.Encoding("held", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.encoder_of(bpe.RANKS, public_tokenizers.PATTERN).ranks, special_tokens={})
+    got = bpe.encode_digest(odd_docs(spark), ["doc_id"]).collect()
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = sorted((str(i), len(ids), sha(",".join(map(str, ids)).encode()), sha((x or "").encode())) for i, x in ROWS for ids in [lib.encode_ordinary(x or "")])
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
+    assert [bytes(r.decoded).decode() for r in bpe.encode(odd_docs(spark), ["text"]).collect()] == [x or "" for _, x in ROWS]
+    assert bpe.encode_digest(no_docs(spark), ["doc_id"]).count() == 0
