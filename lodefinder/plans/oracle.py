@@ -86,14 +86,16 @@ catalog AS (
 ),
 named AS (SELECT item_pos, {folded("concat_ws(' ', c_artist, coalesce(c_title, cleaned_title))")} AS f FROM candidates),
 releases AS (SELECT catalog_id, {folded("artist || ' ' || title")} AS g FROM catalog),
-pairs AS (
-  SELECT item_pos, catalog_id, f, g, CASE WHEN greatest(len(f), len(g)) = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein(f, g)::DOUBLE / greatest(len(f), len(g)) END AS similarity
-  FROM named JOIN releases ON array_to_string(string_split(f, ' ')[1:2], ' ') = array_to_string(string_split(g, ' ')[1:2], ' ')
+texts AS (SELECT DISTINCT f FROM named),
+firsts_of AS (SELECT g, min(catalog_id) AS catalog_id FROM releases GROUP BY g),
+alike AS (
+  SELECT f, catalog_id, CASE WHEN greatest(len(f), len(g)) = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein(f, g)::DOUBLE / greatest(len(f), len(g)) END AS similarity
+  FROM texts JOIN firsts_of ON len(g) BETWEEN 0.71 * len(f) AND len(f) / 0.71
 ),
-best AS (
-  SELECT item_pos, catalog_id, similarity FROM pairs WHERE similarity >= 0.72
-  QUALIFY row_number() OVER (PARTITION BY item_pos ORDER BY similarity DESC, catalog_id) = 1
+best_of AS (
+  SELECT f, catalog_id, similarity FROM alike WHERE similarity >= 0.72 QUALIFY row_number() OVER (PARTITION BY f ORDER BY similarity DESC, catalog_id) = 1
 ),
+best AS (SELECT item_pos, catalog_id, similarity FROM named JOIN best_of USING (f)),
 recs AS (SELECT p_brand AS i_artist, p_name AS i_title, 'rec-' || min(p_partkey) AS recording_id, 'rel-' || min(p_partkey) AS release_id FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2)"""
 
 

@@ -219,7 +219,7 @@ def best_match(spark, sf_dir):
     return linkage.best_matches(found(spark, sf_dir), tables.catalog(spark, sf_dir)).select("item_pos", "catalog_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"WITH {sql.BASE} SELECT item_pos, catalog_id, row_number() OVER (PARTITION BY item_pos ORDER BY abs(len(f) - len(g)), catalog_id)::INTEGER AS rank FROM pairs QUALIFY rank <= 10")
+@query(f"WITH {sql.BASE} SELECT item_pos, catalog_id, row_number() OVER (PARTITION BY item_pos ORDER BY abs(len(f) - len(g)), catalog_id)::INTEGER AS rank FROM named JOIN releases ON array_to_string(string_split(f, ' ')[1:2], ' ') = array_to_string(string_split(g, ' ')[1:2], ' ') QUALIFY rank <= 10")
 def catalog_top10(spark, sf_dir):
     return linkage.nearest_by_length(found(spark, sf_dir), tables.catalog(spark, sf_dir))
 
@@ -240,7 +240,7 @@ def fallback_entities(spark, sf_dir):
     return plan.all_tracks(spark, sf_dir).filter("catalog_id IS NULL").select("item_pos", "entity_id", "artist", "name", "year")
 
 
-@query(f"WITH {sql.TRACKS} SELECT item_pos, coalesce(credited, mentioned) AS instruments, CASE WHEN credited IS NOT NULL THEN 'catalog' WHEN mentioned IS NOT NULL THEN 'inferred' END AS method, CASE WHEN credited IS NOT NULL THEN 'from Discogs' WHEN mentioned IS NOT NULL THEN 'inferred 50%' END AS label FROM tracks")
+@query(f"WITH {sql.TRACKS} SELECT item_pos, coalesce(credited, mentioned) AS instruments, CASE WHEN credited IS NOT NULL THEN 'catalog' WHEN mentioned IS NOT NULL THEN 'parsed' END AS method, CASE WHEN credited IS NOT NULL THEN 'from Discogs' WHEN mentioned IS NOT NULL THEN 'from the title' END AS label FROM tracks")
 def instrument_choice(spark, sf_dir):
     i = F.col("instruments")
     return plan.all_tracks(spark, sf_dir).select("item_pos", joined(i["value"]).alias("instruments"), i["method"].alias("method"), values.provenance_label(i).alias("label"))

@@ -167,14 +167,39 @@ def test_hiding_twice_changes_nothing(spark):
     assert sorted(r[0] for r in once.collect()) == sorted(r[0] for r in preference.hidden(once, seen).collect()) == [1, 3]
 
 
-def test_bands_lose_no_match(spark):
-    rng = random.Random(4)
-    names = ["".join(rng.choices("abcd ", k=rng.randint(1, 30))) for _ in range(150)]
-    df = spark.createDataFrame([(" ".join(("x y " + n).split()),) for n in names], "f string").distinct()
-    texts = linkage.distinct_texts(df, F.col("f"))
-    got = {(r.f, r.g) for r in linkage.text_pairs(texts, texts).collect()}
-    pairs = df.select("f").join(df.select(F.col("f").alias("g")), F.lit(True)).select("f", "g", text.folded_similarity(F.col("f"), F.col("g")).alias("s"))
-    assert got == {(r.f, r.g) for r in pairs.filter(F.col("s") >= vocab.MATCH).collect()}
+def texts_of(spark, seed, n):
+    """Texts, their near copies with edits anywhere, the first words too, and common beginnings."""
+    rng, made = random.Random(seed), {"", "a", "ab"}
+    for _ in range(n):
+        x = rng.choice(["", "brand 17 ", "the "]) + "".join(rng.choices("abcd ", k=rng.randint(1, 30)))
+        made.add(x)
+        for _ in range(rng.randint(0, 9)):
+            i = rng.randint(0, len(x))
+            x = rng.choice([x[:i] + rng.choice("abcd") + x[i:], x[:i] + x[i + 1 :], x[:i] + rng.choice("xyz") + x[i + 1 :]])
+            made.add(x)
+    return sorted(made)
+
+
+@pytest.mark.parametrize("rate", [0.1, 0.2, 1 - vocab.MATCH])
+def test_similarity_join_loses_no_pair(spark, rate):
+    left, right = (spark.createDataFrame([(x,) for x in texts_of(spark, seed, 40)], f"{c} string") for seed, c in ((4, "f"), (5, "g")))
+    right = right.union(left).distinct()
+    every = left.join(right, F.lit(True)).select("f", "g", text.folded_similarity(F.col("f"), F.col("g")).alias("s"))
+    want = {(r.f, r.g) for r in every.filter((F.col("s") >= 1 - rate - 1e-9) & (F.col("f") != "") & (F.col("g") != "")).collect()}
+    got = {(r.f, r.g) for r in linkage.similar_pairs(left, right, rate).collect()}
+    assert want <= got and len(want) > 100
+    # pairs may come more than once, but no pair beyond the edits
+    assert all(r.s >= 1 - rate - 1e-9 for r in every.join(spark.createDataFrame(sorted(got), "f string, g string"), ["f", "g"]).collect())
+
+
+def test_best_texts_are_the_best_of_all(spark):
+    left = spark.createDataFrame([(x,) for x in texts_of(spark, 6, 40)], "f string")
+    firsts = spark.createDataFrame([(x, 7 * i % 1000) for i, x in enumerate(texts_of(spark, 7, 40))], "g string, catalog_id long")
+    every = left.join(firsts, F.lit(True)).select("f", "catalog_id", text.folded_similarity(F.col("f"), F.col("g")).alias("s")).filter(F.col("s") >= vocab.MATCH)
+    want = {}
+    for r in every.collect():
+        want[r.f] = min(want.get(r.f, (0, 0)), (-r.s, r.catalog_id))
+    assert {r.f: (-r.similarity, r.catalog_id) for r in linkage.best_texts(left, firsts).collect()} == want and "" in want
 
 
 def test_search_folds_the_query(spark):
