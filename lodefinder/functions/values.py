@@ -48,9 +48,14 @@ def list_of(text: Column) -> Column:
     return F.when(F.size(items) > 0, items)
 
 
+#: A decimal number, white space around it allowed; casts would also take NaN, Infinity and suffixes such as 80d.
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
 def range_of(low: Column, high: Column) -> Column:
-    """struct(lo, hi): blank, zero or no number becomes 0 and 9999; null if both are blank."""
-    number = lambda x, other: F.coalesce(F.nullif(x.try_cast("double"), F.lit(0.0)), F.lit(other))
+    """struct(lo, hi): blank, zero or no decimal number becomes 0 and 9999; null if both are blank."""
+    plain = lambda x: F.when(x.rlike(NUMBER), F.trim(x).try_cast("double"))
+    number = lambda x, other: F.coalesce(F.nullif(plain(x), F.lit(0.0)), F.lit(other))
     blank = lambda x: F.coalesce(F.trim(x), F.lit("")) == ""
     return F.when(~(blank(low) & blank(high)), F.struct(number(low, 0.0).alias("lo"), number(high, 9999.0).alias("hi")))
 
@@ -63,8 +68,12 @@ def year_range_of(text: Column) -> Column:
 
 
 def relayed(content_type: Column, body: Column) -> Column:
-    """What a relay hands on: JSON as it is, any other text as an object with the text under 'raw'."""
-    return F.when(F.coalesce(content_type, F.lit("")).contains("json"), body).otherwise(F.to_json(F.struct(body.alias("raw"))))
+    """What a relay hands on: JSON as it is, any other text as an object with the text under 'raw', null too.
+
+    A body that is said to be JSON and is not fails alone: it becomes null.
+    """
+    valid = F.when(F.try_parse_json(body).isNotNull(), body)
+    return F.when(F.coalesce(content_type, F.lit("")).contains("json"), valid).otherwise(F.to_json(F.struct(body.alias("raw")), {"ignoreNullFields": "false"}))
 
 
 def host_of(url: Column) -> Column:
@@ -93,11 +102,11 @@ def confirmed(value: Column, source: Column | str, as_of: Column, confidence: Co
 
 
 def analyzed(value: Column, confidence: Column | float, as_of: Column) -> Column:
-    return provenance(value, "audio", "analyzed", confidence, as_of)
+    return provenance(value, "audio_analysis", "analyzed", confidence, as_of)
 
 
 def inferred(value: Column, confidence: Column | float, as_of: Column) -> Column:
-    return provenance(value, "text", "inferred", confidence, as_of)
+    return provenance(value, "inferred", "inferred", confidence, as_of)
 
 
 def user_set(value: Column, as_of: Column) -> Column:

@@ -60,8 +60,14 @@ def periodicity(series: np.ndarray) -> float:
     return float(round(0.5 + 0.5 * min(1.0, max(0.0, ac[1:].max() / (ac[0] + 1e-9))), 2))
 
 
+def gapless(counts: DataFrame, group: str, at: str, value: str, step: str) -> DataFrame:
+    """counts with a row of 0 for each step of a group's time range that has none: one more shuffle, of what is counted."""
+    every = counts.groupBy(group).agg(F.min(at).alias("a"), F.max(at).alias("b")).select(group, F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {step}"))).alias(at))
+    return every.join(counts, [group, at], "left").select(group, at, F.coalesce(value, F.lit(0.0)).alias(value))
+
+
 def periodicities(counts: DataFrame, group: str, at: str, value: str) -> DataFrame:
-    """(group, confidence) of each group's series in order; a series is as long as its time range has steps."""
+    """(group, confidence) of each group's series in order. Steps without a row have to be there as zeros, see gapless."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({group: [pdf[group].iloc[0]], "confidence": [periodicity(pdf.sort_values(at)[value].to_numpy(dtype=float))]})

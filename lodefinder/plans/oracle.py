@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from lodefinder.functions import vocab
-from lodefinder.operators.audio import KEYS, key_templates
 from lodefinder.sources import tables
 
 AS_OF = f"TIMESTAMP '{tables.AS_OF} 00:00:00'"
@@ -171,13 +170,28 @@ TIER = "CASE " + " ".join(f"WHEN dig_score >= {low} THEN {quoted(n)}" for low, n
 
 ACTIONS = "actions AS (SELECT user_id, json_extract_string(props, '$.k')::BIGINT AS entity_id, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tables.ACTIONS.items()) + f" END AS action, ts, event_id FROM events WHERE event_type IN ({', '.join(map(quoted, tables.ACTIONS))}))"
 
-LEARNED = f"""{ACTIONS}, attributes AS (
-  SELECT p_partkey AS entity_id, 'genres' AS dim, p_type AS key FROM part
-  UNION ALL SELECT p_partkey, 'eras', ((1950 + p_size) // 10 * 10) || 's' FROM part
-  UNION ALL SELECT p_partkey, 'artists', p_brand FROM part
-  UNION ALL SELECT p_partkey, 'bpm_buckets', ((60 + p_partkey % 90) // 10 * 10) || '-' || ((60 + p_partkey % 90) // 10 * 10 + 10) FROM part
-  UNION ALL SELECT p_partkey, 'styles', unnest(string_split(p_name, ' ')) FROM part
-), weighed AS (SELECT *, CASE action WHEN 'save' THEN 1 WHEN 'reject' THEN -1 END AS w FROM actions WHERE action IN ('save', 'reject')),
+ATTRIBUTES = f"""makers AS (
+  SELECT l_partkey, s_name, n_name FROM (SELECT l_partkey, min(l_suppkey) AS s FROM lineitem GROUP BY l_partkey) LEFT JOIN supplier ON s_suppkey = s LEFT JOIN nation ON n_nationkey = s_nationkey
+), tagged AS (
+  SELECT p.*, v.title, s_name, n_name, lower(v.title || ' ' || p_type || ' ' || p_name) AS hints,
+    CASE WHEN p_partkey % 4 <> 0 THEN {role_case(f"[{', '.join(map(quoted, tables.CREDITS))}][(p_partkey % 5 + 1)::INTEGER]")} END AS credited
+  FROM part p JOIN ({VIDEOS}) v ON v.item_pos = p_partkey LEFT JOIN makers ON l_partkey = p_partkey
+), attributes AS (
+  SELECT * FROM (
+    SELECT p_partkey AS entity_id, 'genres' AS dim, p_type AS key FROM tagged
+    UNION ALL SELECT p_partkey, 'eras', ((1950 + p_size) // 10 * 10) || 's' FROM tagged
+    UNION ALL SELECT p_partkey, 'artists', p_brand FROM tagged
+    UNION ALL SELECT p_partkey, 'labels', s_name FROM tagged
+    UNION ALL SELECT p_partkey, 'countries', n_name FROM tagged
+    UNION ALL SELECT p_partkey, 'bpm_buckets', ((60 + p_partkey % 90) // 10 * 10) || '-' || ((60 + p_partkey % 90) // 10 * 10 + 10) FROM tagged
+    UNION ALL SELECT p_partkey, 'styles', unnest(string_split(p_name, ' ')) FROM tagged
+    UNION ALL SELECT p_partkey, 'instruments', unnest(string_split(coalesce(credited, {instrument_list('title')}), ',')) FROM tagged
+    UNION ALL SELECT p_partkey, 'feels', unnest(string_split({hint_list('hints', vocab.FEELS)}, ',')) FROM tagged
+    UNION ALL SELECT p_partkey, 'textures', unnest(string_split({hint_list('hints', vocab.TEXTURES)}, ',')) FROM tagged
+  ) WHERE key <> ''
+)"""
+
+LEARNED = f"""{ACTIONS}, {ATTRIBUTES}, weighed AS (SELECT *, CASE action WHEN 'save' THEN 1 WHEN 'reject' THEN -1 END AS w FROM actions WHERE action IN ('save', 'reject')),
 learned AS (SELECT user_id, dim, key, sum(w)::DOUBLE AS weight FROM weighed JOIN attributes USING (entity_id) GROUP BY ALL),
 sums AS (SELECT user_id, sum(w)::DOUBLE AS total FROM weighed GROUP BY user_id),
 tops AS (SELECT user_id, dim, greatest(1.0::DOUBLE, max(weight)) AS top FROM learned GROUP BY ALL)"""
@@ -186,7 +200,7 @@ tops AS (SELECT user_id, dim, greatest(1.0::DOUBLE, max(weight)) AS top FROM lea
 def affinity_of(pairs: str) -> str:
     """CTE affinity (user_id, entity_id, affinity) for a CTE of distinct pairs."""
     return f"""means AS (
-  SELECT p.user_id, p.entity_id, avg(coalesce(l.weight, 0.0::DOUBLE) / t.top) AS mean FROM {pairs} p JOIN attributes a USING (entity_id)
+  SELECT p.user_id, p.entity_id, avg(coalesce(l.weight, 0.0::DOUBLE) / t.top) AS mean FROM {pairs} p JOIN attributes a ON a.entity_id = p.entity_id AND a.dim NOT IN ('feels', 'textures')
   JOIN tops t ON t.user_id = p.user_id AND t.dim = a.dim LEFT JOIN learned l ON l.user_id = p.user_id AND l.dim = a.dim AND l.key = a.key GROUP BY ALL
 ), affinity AS (
   SELECT p.user_id, p.entity_id, CASE WHEN coalesce(s.total, 0) <= 0 OR m.mean IS NULL THEN 0.5::DOUBLE ELSE {clamp('m.mean')} END AS affinity
@@ -204,4 +218,9 @@ statuses AS (
   FROM keys k LEFT JOIN hard h USING (user_id, entity_id) LEFT JOIN soft s USING (user_id, entity_id)
 )"""
 
-TEMPLATES = "(VALUES " + ", ".join(f"({i}, {quoted(k)}, [{', '.join(f'{x!r}::DOUBLE' for x in row)}])" for i, (k, row) in enumerate(zip(KEYS, key_templates(), strict=True))) + ") AS t(i, key, v)"
+#: The 24 keys from the two published profiles: each pitch major, then minor, centred and of unit length, all in SQL.
+TEMPLATES = f"""(SELECT i, key, [x / sqrt(list_sum([y * y FOR y IN c])) FOR x IN c] AS v FROM (
+  SELECT 2 * t + m AS i, {vocab.PITCHES}[t + 1] || CASE m WHEN 0 THEN ' major' ELSE ' minor' END AS key,
+    [p[((j - t + 12) % 12 + 1)::INTEGER] - list_sum(p) / 12 FOR j IN range(0, 12)] AS c
+  FROM unnest(range(0, 12)) AS a(t), (VALUES (0, {vocab.MAJOR}::DOUBLE[]), (1, {vocab.MINOR}::DOUBLE[])) AS b(m, p)
+)) AS t"""

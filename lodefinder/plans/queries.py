@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodefinder.functions import text, values, vocab
-from lodefinder.operators import audio, display, linkage, preference, scoring
+from lodefinder.operators import audio, catalog_index, display, linkage, preference, scoring
 from lodefinder.operators.scoring import SearchQuery
 from lodefinder.plans import oracle as sql
 from lodefinder.plans import search as plan
@@ -98,30 +98,43 @@ def settings_list(spark, sf_dir):
     return t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(values.list_of(raw), "|").alias("items"))
 
 
-RANGE = "CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '80' WHEN 2 THEN 'x' ELSE '0' END AS lo, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '120.5' ELSE 'y' END AS hi"
+#: Values of a column in turn, so that every form of input meets every other.
+def turns(of: str, forms: list[str | None]) -> str:
+    return f"CASE {of} % {len(forms)} " + " ".join(f"WHEN {i} THEN {'NULL' if x is None else sql.quoted(x)}" for i, x in enumerate(forms)) + " END"
 
 
-@query(f"SELECT p_partkey AS id, CASE WHEN lo <> '' OR hi <> '' THEN coalesce(nullif(try_cast(lo AS DOUBLE), 0), 0) END AS lo, CASE WHEN lo <> '' OR hi <> '' THEN coalesce(nullif(try_cast(hi AS DOUBLE), 0), 9999) END AS hi FROM (SELECT p_partkey, {RANGE} FROM part)")
+LOWS, HIGHS = turns("p_partkey", ["", "80", "x", "0", "NaN", "80d", " 1e2 ", "-5.5", None]), turns("p_size", ["", "120.5", "y", "Infinity", "9f", ".5", None])
+
+
+def range_sql(lo: str, hi: str) -> str:
+    """lo and hi columns of the parsed range."""
+    number = lambda x, other: f"coalesce(nullif(CASE WHEN regexp_matches({x}, '{values.NUMBER}') THEN trim({x})::DOUBLE END, 0), {other})"
+    there = f"trim(coalesce({lo}, '')) <> '' OR trim(coalesce({hi}, '')) <> ''"
+    return f"CASE WHEN {there} THEN {number(lo, 0)} END AS lo, CASE WHEN {there} THEN {number(hi, 9999)} END AS hi"
+
+
+@query(f"SELECT id, {range_sql('lo', 'hi')} FROM (SELECT p_partkey AS id, {LOWS} AS lo, {HIGHS} AS hi FROM part)")
 def range_parse(spark, sf_dir):
-    raw = t(spark, sf_dir, "part").selectExpr("p_partkey AS id", *RANGE.split(", CASE")[:1], "CASE" + RANGE.split(", CASE")[1])
+    raw = t(spark, sf_dir, "part").selectExpr("p_partkey AS id", f"{LOWS} AS lo", f"{HIGHS} AS hi")
     r = values.range_of(F.col("lo"), F.col("hi"))
     return raw.select("id", r["lo"].alias("lo"), r["hi"].alias("hi"))
 
 
-YEARS = "CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '1970-1979' WHEN 2 THEN '1985' WHEN 3 THEN '-1990' ELSE '1960-x-1990' END"
+YEARS = turns("p_partkey", ["", "1970-1979", "1985", "-1990", "1960-x-1990", "NaN-1990", "1970-80d", None])
 
 
-@query(f"SELECT id, CASE WHEN lo <> '' OR hi <> '' THEN coalesce(nullif(try_cast(lo AS DOUBLE), 0), 0) END AS lo, CASE WHEN lo <> '' OR hi <> '' THEN coalesce(nullif(try_cast(hi AS DOUBLE), 0), 9999) END AS hi FROM (SELECT p_partkey AS id, split_part({YEARS}, '-', 1) AS lo, split_part({YEARS}, '-', 2) AS hi FROM part)")
+@query(f"SELECT id, {range_sql('lo', 'hi')} FROM (SELECT p_partkey AS id, split_part({YEARS}, '-', 1) AS lo, split_part({YEARS}, '-', 2) AS hi FROM part)")
 def year_range(spark, sf_dir):
     r = values.year_range_of(F.col("years"))
     return t(spark, sf_dir, "part").selectExpr("p_partkey AS id", f"{YEARS} AS years").select("id", r["lo"].alias("lo"), r["hi"].alias("hi"))
 
 
-@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN '{"name":"' || p_name || '"}' ELSE '{"raw":"' || p_name || '"}' END AS payload FROM part""")
+@query("""SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN '{"name":"' || p_name || '"}' WHEN 1 THEN NULL WHEN 2 THEN '{"raw":null}' ELSE '{"raw":"' || p_name || '"}' END AS payload FROM part""")
 def relay_payload(spark, sf_dir):
-    k = F.col("p_partkey") % 3
-    kind = F.when(k == 0, "application/json; charset=utf-8").when(k == 1, "text/html")
-    body = F.when(k == 0, F.concat(F.lit('{"name":"'), "p_name", F.lit('"}'))).otherwise(F.col("p_name"))
+    """JSON, a body that is said to be JSON and is not, no body, other text with and without a type."""
+    k = F.col("p_partkey") % 5
+    kind = F.when(k <= 1, "application/json; charset=utf-8").when(k == 3, "text/html")
+    body = F.when(k == 0, F.concat(F.lit('{"name":"'), "p_name", F.lit('"}'))).when(k == 1, F.concat(F.lit("{"), "p_name")).when(k >= 3, F.col("p_name"))
     return t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), values.relayed(kind, body).alias("payload"))
 
 
@@ -224,6 +237,30 @@ def catalog_top10(spark, sf_dir):
     return linkage.nearest_by_length(found(spark, sf_dir), tables.catalog(spark, sf_dir))
 
 
+def remote_title() -> F.Column:
+    """A release's title as a remote search shows it; every fifth has a second hyphen."""
+    return F.concat("artist", F.lit(" - "), "title", F.when(F.col("catalog_id") % 5 == 0, " - reissue").otherwise(""))
+
+
+@query(f"""WITH {sql.BASE}, docs AS (SELECT catalog_id AS doc, artist || ' - ' || title || CASE WHEN catalog_id % 5 = 0 THEN ' - reissue' ELSE '' END AS shown FROM catalog),
+words AS (SELECT doc, [w FOR w IN regexp_split_to_array({sql.folded('shown')}, '\\s+') IF w <> ''] AS w FROM docs), full_words AS (SELECT * FROM words WHERE len(w) > 0),
+sizes AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM full_words),
+postings AS (SELECT term, doc, size, count(*) AS tf FROM (SELECT doc, len(w) AS size, unnest(w) AS term FROM full_words) GROUP BY ALL),
+terms AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+asked AS (SELECT DISTINCT q, unnest(regexp_split_to_array({sql.folded('q')}, '\\s+')) AS term FROM (SELECT DISTINCT f AS q FROM named)),
+scores AS (SELECT q, doc, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean)))), 9) AS score
+  FROM asked JOIN terms USING (term) JOIN postings USING (term), sizes GROUP BY q, doc),
+ranked AS (SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc)::INTEGER AS rank, score FROM scores QUALIFY rank <= 10)
+SELECT item_pos, doc AS catalog_id, rank, round(score, 6) AS score, string_split(shown, ' - ')[1] AS artist, string_split(shown, ' - ')[2] AS title FROM named JOIN ranked ON q = f JOIN docs USING (doc)""")
+def catalog_search(spark, sf_dir):
+    """The ten most relevant releases for each item's artist and title, as a search shows them."""
+    named = found(spark, sf_dir).select("item_pos", text.folded(linkage.search_text()).alias("q"))
+    docs = tables.catalog(spark, sf_dir).select(F.col("catalog_id").alias("doc"), remote_title().alias("shown"))
+    best = catalog_index.best_documents(named.select("q").distinct(), catalog_index.index_of(docs, "doc", F.col("shown")))
+    artist, title = catalog_index.release_names(F.col("shown"))
+    return named.join(best, "q").join(docs, "doc").select("item_pos", F.col("doc").alias("catalog_id"), "rank", F.round("score", 6).alias("score"), artist.alias("artist"), title.alias("title"))
+
+
 @query(f"WITH {sql.BASE} SELECT b.item_pos, r.artist, r.title, r.year, r.label, r.country, r.want, r.have, r.genres[1] AS genre FROM best b JOIN catalog r USING (catalog_id)")
 def catalog_lookup(spark, sf_dir):
     cat = tables.catalog(spark, sf_dir)
@@ -240,21 +277,21 @@ def fallback_entities(spark, sf_dir):
     return plan.all_tracks(spark, sf_dir).filter("catalog_id IS NULL").select("item_pos", "entity_id", "artist", "name", "year")
 
 
-@query(f"WITH {sql.TRACKS} SELECT item_pos, coalesce(credited, mentioned) AS instruments, CASE WHEN credited IS NOT NULL THEN 'catalog' WHEN mentioned IS NOT NULL THEN 'parsed' END AS method, CASE WHEN credited IS NOT NULL THEN 'from Discogs' WHEN mentioned IS NOT NULL THEN 'from the title' END AS label FROM tracks")
+@query(f"WITH {sql.TRACKS} SELECT item_pos, coalesce(credited, mentioned) AS instruments, CASE WHEN credited IS NOT NULL THEN 'discogs' WHEN mentioned IS NOT NULL THEN 'youtube_title' END AS source, CASE WHEN credited IS NOT NULL THEN 'catalog' WHEN mentioned IS NOT NULL THEN 'parsed' END AS method, CASE WHEN credited IS NOT NULL THEN 'from Discogs' WHEN mentioned IS NOT NULL THEN 'from the title' END AS label FROM tracks")
 def instrument_choice(spark, sf_dir):
     i = F.col("instruments")
-    return plan.all_tracks(spark, sf_dir).select("item_pos", joined(i["value"]).alias("instruments"), i["method"].alias("method"), values.provenance_label(i).alias("label"))
+    return plan.all_tracks(spark, sf_dir).select("item_pos", joined(i["value"]).alias("instruments"), i["source"].alias("source"), i["method"].alias("method"), values.provenance_label(i).alias("label"))
 
 
 LABELS = "CASE p_partkey % 5 WHEN 0 THEN 'catalog' WHEN 1 THEN 'parsed' WHEN 2 THEN 'analyzed' WHEN 3 THEN 'inferred' ELSE 'manual' END"
 
 
-@query("SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'from Discogs' WHEN 1 THEN 'from the title' WHEN 2 THEN 'analyzed ' || floor(least(1.0, p_size / 40.0) * 100 + 0.5)::INTEGER || '%' WHEN 3 THEN 'inferred ' || floor(least(1.0, p_size / 40.0) * 100 + 0.5)::INTEGER || '%' ELSE 'yours' END AS label FROM part")
+@query("SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'from Discogs' WHEN 1 THEN 'from the title' WHEN 2 THEN 'analyzed ' || floor(least(1.0, p_size / 40.0) * 100 + 0.5)::INTEGER || '%' WHEN 3 THEN 'inferred ' || floor(least(1.0, p_size / 40.0) * 100 + 0.5)::INTEGER || '%' ELSE 'yours' END AS label, CASE p_partkey % 5 WHEN 0 THEN 'discogs' WHEN 1 THEN 'web' WHEN 2 THEN 'audio_analysis' WHEN 3 THEN 'inferred' ELSE 'user' END AS source FROM part")
 def provenance_label(spark, sf_dir):
     k, c, now = F.col("p_partkey") % 5, F.col("p_size") / 40.0, tables.as_of()
     v = F.col("p_name")
     made = F.when(k == 0, values.confirmed(v, "discogs", now)).when(k == 1, values.confirmed(v, "web", now)).when(k == 2, values.analyzed(v, c, now)).when(k == 3, values.inferred(v, c, now)).otherwise(values.user_set(v, now))
-    return t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), values.provenance_label(made).alias("label"))
+    return t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), values.provenance_label(made).alias("label"), made["source"].alias("source"))
 
 
 # scores
@@ -321,7 +358,7 @@ def acts(spark, sf_dir):
 
 
 def attrs(spark, sf_dir):
-    return tables.attributes(t(spark, sf_dir, "part"))
+    return tables.attributes(spark, sf_dir)
 
 
 @query(f"WITH {sql.LEARNED} SELECT * FROM learned")
@@ -411,12 +448,14 @@ def chroma_mean(spark, sf_dir):
     return made.select("vec_id", "pitch", F.round("share", 9).alias("share"))
 
 
-@query("""WITH h AS (SELECT event_type, date_trunc('hour', ts) AS hour, count(*)::DOUBLE AS n FROM events GROUP BY ALL), s AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY hour) AS i FROM h),
+@query("""WITH h AS (SELECT event_type, date_trunc('hour', ts) AS hour, count(*)::DOUBLE AS n FROM events GROUP BY ALL),
+every AS (SELECT event_type, unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM h GROUP BY event_type),
+s AS (SELECT event_type, coalesce(n, 0.0::DOUBLE) AS n, row_number() OVER (PARTITION BY event_type ORDER BY hour) AS i FROM every LEFT JOIN h USING (event_type, hour)),
 ac AS (SELECT a.event_type, b.i - a.i AS lag, sum(a.n * b.n) AS v FROM s a JOIN s b ON a.event_type = b.event_type AND b.i >= a.i GROUP BY ALL)
-SELECT event_type, round(0.5 + 0.5 * least(1.0, greatest(0.0, max(v) FILTER (WHERE lag > 0) / (max(v) FILTER (WHERE lag = 0) + 1e-9))), 2) AS confidence FROM ac GROUP BY event_type""")
+SELECT event_type, round(0.5 + 0.5 * coalesce(least(1.0, greatest(0.0, max(v) FILTER (WHERE lag > 0) / (max(v) FILTER (WHERE lag = 0) + 1e-9))), 0.6), 2) AS confidence FROM ac GROUP BY event_type""")
 def autocorr_confidence(spark, sf_dir):
     hourly = t(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").cast("double").alias("n"))
-    return audio.periodicities(hourly, "event_type", "hour", "n")
+    return audio.periodicities(audio.gapless(hourly, "event_type", "hour", "n", "1 hour"), "event_type", "hour", "n")
 
 
 # streams: they end where the batch plans do

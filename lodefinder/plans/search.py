@@ -41,7 +41,7 @@ def all_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def track_affinity(spark: SparkSession, sf_dir: str, tracks: DataFrame, user_id: int) -> DataFrame:
     """Tracks with their affinity to one user's actions."""
-    attrs = tables.attributes(tables.table(spark, sf_dir, "part"))
+    attrs = tables.attributes(spark, sf_dir)
     acts = tables.actions(tables.table(spark, sf_dir, "events").filter(F.col("user_id") == user_id))
     # a track takes the attributes of the release it is linked to
     pairs = tracks.filter("catalog_id IS NOT NULL").select(F.lit(user_id).cast("long").alias("user_id"), F.col("catalog_id").alias("entity_id")).distinct()

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodefinder.functions import text
+from lodefinder.functions.values import bpm_bucket, decade
+
 #: "Now" for every age; results must not depend on the day they are computed.
 AS_OF = "2024-02-01"
 SUFFIXES = [" [%d bpm F# minor]", " [Am groove]", " [%d BPM Bb maj]", " [A Minor x]", " [Em7]", " [key of dreams]", ""]
@@ -99,19 +102,26 @@ def union_items(parts: list[DataFrame], spark: SparkSession) -> DataFrame:
 CREDITS = ["Bass Guitar", "Electric Piano", "Drums, Percussion", "Producer", "Bassoon"]
 
 
+def credited_role():
+    return F.element_at(F.array(*map(F.lit, CREDITS)), (F.col("p_partkey") % 5 + 1).cast("int"))
+
+
+def makers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(p_partkey, returns, s_suppkey, s_name, n_name): each part's returned lines, and its first supplier and their nation."""
+    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("l_suppkey").alias("s_suppkey"), F.sum((F.col("l_returnflag") == "R").cast("long")).alias("returns"))
+    named = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "n_name")
+    return counts.join(named, "s_suppkey", "left")
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A release for each brand and name, but for those whose smallest part number is divisible by 3."""
-    part, lines = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    part = table(spark, sf_dir, "part")
     first = part.groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("p_partkey")).filter("p_partkey % 3 <> 0").select("p_partkey")
-    counts = lines.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("l_suppkey").alias("s_suppkey"), F.sum((F.col("l_returnflag") == "R").cast("long")).alias("returns"))
-    makers = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "n_name")
     k = F.col("p_partkey")
-    role = F.element_at(F.array(*map(F.lit, CREDITS)), (k % 5 + 1).cast("int"))
-    credit = F.struct(F.col("s_name").alias("name"), role.alias("role"))
+    credit = F.struct(F.col("s_name").alias("name"), credited_role().alias("role"))
     return (
         part.join(first, "p_partkey")
-        .join(counts, "p_partkey", "left")
-        .join(makers, "s_suppkey", "left")
+        .join(makers(spark, sf_dir), "p_partkey", "left")
         .select(
             k.alias("catalog_id"),
             F.col("p_brand").alias("artist"),
@@ -152,17 +162,25 @@ def actions(events: DataFrame) -> DataFrame:
     )
 
 
-def attributes(part: DataFrame) -> DataFrame:
-    """(entity_id, dim, key): what a track's preference counters are kept by."""
-    from lodefinder.functions.values import bpm_bucket, decade
+def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity_id, dim, key): what a track's preference counters are kept by, in all ten dimensions.
 
+    Instruments are those of its credits, else those that its title names; feels and textures are hints in title and tags.
+    """
+    part = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
-    pair = lambda dim, key: F.struct(F.lit(dim).alias("dim"), key.alias("key"))
-    one = F.array(
-        pair("genres", F.col("p_type")),
-        pair("eras", decade(F.lit(1950) + F.col("p_size"))),
-        pair("artists", F.col("p_brand")),
-        pair("bpm_buckets", bpm_bucket((F.lit(60) + k % 90).cast("double"))),
-    )
-    styles = F.transform(F.split("p_name", " "), lambda w: F.struct(F.lit("styles").alias("dim"), w.alias("key")))
-    return part.select(k.alias("entity_id"), F.explode(F.concat(one, styles)).alias("a")).select("entity_id", "a.dim", "a.key").filter("key IS NOT NULL AND key <> ''")
+    titles = video_items(part).select(F.col("item_pos").alias("p_partkey"), "title")
+    joined = part.join(titles, "p_partkey").join(makers(spark, sf_dir), "p_partkey", "left")
+    styles = F.split("p_name", " ")
+    credited = F.array_compact(F.array(F.when(k % 4 != 0, text.role_instrument(credited_role()))))
+    tagged = joined.select(
+        k.alias("entity_id"), "p_type", "p_brand", "s_name", "n_name", styles.alias("styles"),
+        F.when(F.size(credited) > 0, credited).otherwise(text.instruments_in(F.col("title"))).alias("instruments"),
+        text.mood(F.col("title"), F.concat(F.array("p_type"), styles)).alias("mood"),
+        decade(F.lit(1950) + F.col("p_size")).alias("era"), bpm_bucket((F.lit(60) + k % 90).cast("double")).alias("bucket"),
+    )
+    pairs = lambda dim, keys: F.transform(keys, lambda x: F.struct(F.lit(dim).alias("dim"), x.alias("key")))
+    many = {"genres": F.array("p_type"), "styles": F.col("styles"), "instruments": F.col("instruments"), "feels": F.col("mood.feels"), "textures": F.col("mood.textures")}
+    one = {"eras": "era", "countries": "n_name", "labels": "s_name", "artists": "p_brand", "bpm_buckets": "bucket"}
+    every = F.concat(*(pairs(d, c) for d, c in many.items()), *(pairs(d, F.array(c)) for d, c in one.items()))
+    return tagged.select("entity_id", F.explode(every).alias("a")).select("entity_id", "a.dim", "a.key").filter("key IS NOT NULL AND key <> ''")

@@ -33,7 +33,7 @@ def drained(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
 def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Preference counters by user, dimension and key: a stream of actions joined to the static attributes."""
     acts = tables.actions(event_stream(spark, sf_dir))
-    attrs = tables.attributes(tables.table(spark, sf_dir, "part"))
+    attrs = tables.attributes(spark, sf_dir)
     weighed = acts.withColumn("w", preference.weight_of(F.col("action"))).filter("w IS NOT NULL")
     return drained(weighed.join(attrs, "entity_id").groupBy("user_id", "dim", "key").agg(F.sum("w").cast("double").alias("weight")), spark, "counters")
 

@@ -78,6 +78,25 @@ def test_slug_list_range(spark):
     assert one(spark, values.range_of, "", " ") is None
 
 
+@pytest.mark.parametrize(("low", "high", "want"), [("NaN", "", (0.0, 9999.0)), ("80d", "90f", (0.0, 9999.0)), (" 1e2 ", "Infinity", (100.0, 9999.0)), ("-5.5", ".5", (-5.5, 0.5)), ("0", "0", (0.0, 9999.0))])
+def test_ranges_take_decimal_numbers_only(spark, low, high, want):
+    assert tuple(one(spark, values.range_of, low, high)) == want
+
+
+def test_relayed(spark):
+    assert one(spark, values.relayed, "text/html", None) == '{"raw":null}'
+    assert one(spark, values.relayed, "text/html", "<a>") == '{"raw":"<a>"}'
+    assert one(spark, values.relayed, "application/json", '{"a": 1}') == '{"a": 1}'
+    assert one(spark, values.relayed, "application/json", "{a") is None and one(spark, values.relayed, "application/json", None) is None
+
+
+def test_hours_without_events_count(spark):
+    df = spark.createDataFrame([("a", h, 1.0) for h in (0, 3, 6, 9, 12)] + [("b", 5, 2.0)], "g string, h int, n double").withColumn("h", F.timestamp_seconds(F.col("h") * 3600))
+    filled = audio.gapless(df, "g", "h", "n", "1 hour")
+    assert filled.filter("g = 'a'").count() == 13
+    assert {r.g: r.confidence for r in audio.periodicities(filled, "g", "h", "n").collect()} == {"a": 0.9, "b": 0.8}
+
+
 def test_hosts(spark):
     assert one(spark, lambda c: values.host_allowed(values.host_of(c)), "https://API.discogs.com/x") is True
     assert one(spark, lambda c: values.host_allowed(values.host_of(c)), "https://evil-archive.org/x") is False
