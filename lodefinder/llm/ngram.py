@@ -182,12 +182,12 @@ class Numbers(dict):
         return n
 
 
-BLOCK_SCHEMA = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, words binary, counts binary, ids binary"
+BLOCK_SCHEMA = "block long, doc_ids array<long>, named array<boolean>, held array<boolean>, sizes array<int>, words binary, counts binary, ids binary"
 
 
 def blocks_of(docs: DataFrame, id_col: str, text_col: str, held: F.Column) -> DataFrame:
     tune(docs.sparkSession)
-    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
+    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
@@ -201,7 +201,7 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, held: F.Column) -> Da
             place = np.empty(len(order), dtype=np.uint32)
             place[order] = np.arange(len(order))
             words = np.array([xxhash.xxh3_64_intdigest(w) for w in numbers], dtype=np.uint64)
-            row = [(part << 32) + made, doc_ids, flags, sizes, words[order].tobytes(), packed(train[order]), packed(place[flat])]
+            row = [(part << 32) + made, [x or 0 for x in doc_ids], [x is not None for x in doc_ids], flags, sizes, words[order].tobytes(), packed(train[order]), packed(place[flat])]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[f.split()[0] for f in BLOCK_SCHEMA.split(", ")])
 
         held_tokens = 0
@@ -327,7 +327,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
         # level 1
         asked = [np.frombuffer(x, dtype=np.uint64) for x in pdf["words"]]
         words, at = np.unique(np.concatenate(asked), return_inverse=True)
-        counts = np.bincount(at, weights=np.concatenate([unpacked(x, np.uint32) for x in pdf["counts"]]), minlength=len(words)).astype(np.uint32)
+        counts = np.bincount(at, weights=np.concatenate([unpacked(x, np.uint32) for x in pdf["counts"]]), minlength=len(words)).astype(np.int64)
         ends = np.cumsum([len(x) for x in asked])
         word_counts = [packed(x) for x in np.split(counts[at], ends[:-1])]
         # level 2
@@ -345,7 +345,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
         seen = n > 0
         trie = Trie(known, totals, grams[seen], n[seen])
         found = [trie.query(c, s, a) for c, s, a in zip(contexts, sizes, after, strict=True)]
-        return pd.DataFrame({"shard": pdf["shard"], "block": pdf["block"], "counts": word_counts, "backoff": [packed(b) for b, _ in found], "codes": [packed(a) for _, a in found], "vocabulary": np.where(np.arange(len(pdf)) == 0, int((counts > 0).sum()), 0), "tokens": np.where(np.arange(len(pdf)) == 0, int(counts.sum(dtype=np.int64)), 0)})
+        return pd.DataFrame({"shard": pdf["shard"], "block": pdf["block"], "counts": word_counts, "backoff": [packed(b) for b, _ in found], "codes": [packed(a) for _, a in found], "vocabulary": np.where(np.arange(len(pdf)) == 0, int((counts > 0).sum()), 0), "tokens": np.where(np.arange(len(pdf)) == 0, int(counts.sum()), 0)})
 
     answers = staged(messages.groupBy("shard").applyInPandas(answer, "shard int, block long, counts binary, backoff binary, codes binary, vocabulary long, tokens long"), "answers")
     sums = answers.agg(F.sum("vocabulary"), F.sum("tokens")).first()
@@ -359,7 +359,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
             counts = np.zeros(len(block.words), dtype=np.int64)
             a, b = np.zeros(len(block.pairs)), np.zeros(len(block.pairs))
             for s, reply in replies.iterrows():
-                counts[block.word_order[block.word_cut[s] : block.word_cut[s + 1]]] = unpacked(reply["counts"], np.uint32)
+                counts[block.word_order[block.word_cut[s] : block.word_cut[s + 1]]] = unpacked(reply["counts"], np.int64)
                 p = block.pair_order[block.pair_cut[s] : block.pair_cut[s + 1]]
                 if len(p):
                     a[p] = decoded(unpacked(reply["codes"], np.uint16))
@@ -373,7 +373,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
             out.append(
                 pd.DataFrame(
                     {
-                        id_col: pd.array([None if x is None or x != x else int(x) for x in row.doc_ids], dtype="Int64"),
+                        id_col: pd.arrays.IntegerArray(np.array(row.doc_ids, dtype=np.int64), ~np.array(row.named, dtype=bool)),
                         "held_out": row.held,
                         "n_tokens": block.sizes,
                         "n_known": np.add.reduceat((counts > 0)[block.ids].astype(np.int64), first),

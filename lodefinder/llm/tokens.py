@@ -36,7 +36,33 @@ def char_class(*majors: str) -> str:
 LETTERS, NUMBERS = char_class("L"), char_class("N")
 SPACES = "\t\n\x0b\x0c\r \x85\xa0"
 UNSAFE = re.compile(f"[^{''.join(map(re.escape, _SAFE))}]")
-WORD_PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
+
+#: What the word tokeniser's two tiers take: of the characters above those whose small letters are among them too, dashes,
+#: quotation marks and other signs, the euro sign, Cyrillic letters, kana, CJK ideographs and Hangul syllables. None of
+#: them is changed by normalisation on its own, and none joins with another.
+_WIDE = [(0x2010, 0x2028), (0x2030, 0x205F), (0x20AC, 0x20AD), (0x400, 0x460), (0x3041, 0x3097), (0x30A1, 0x30FB), (0x4E00, 0x9FA6), (0xAC00, 0xD7A4)]
+_SMALL = set(_SAFE)
+_WORDS = [c for c in _SAFE if set(c.lower()) <= _SMALL] + [chr(c) for a, b in _WIDE for c in range(a, b)]
+
+
+def spans(chars) -> str:
+    """The characters as ranges of a class."""
+    codes, out = sorted(map(ord, chars)), []
+    for c in codes:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(re.escape(chr(a)) if a == b else f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in out)
+
+
+def wide_class(major: str) -> str:
+    return spans(c for c in _WORDS if unicodedata.category(c)[0] == major)
+
+
+WORD_LETTERS, WORD_NUMBERS = wide_class("L"), wide_class("N")
+NOT_WORDS = re.compile(f"[^{spans(_WORDS)}]")
+WORD_PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{WORD_LETTERS}]+|[{WORD_NUMBERS}]|[^{SPACES}{WORD_LETTERS}{WORD_NUMBERS}]+")
 
 
 class WordLengths(dict):
@@ -56,7 +82,7 @@ class WordLengths(dict):
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if UNSAFE.search(text) or self.special.search(text):
+        if NOT_WORDS.search(text) or self.special.search(text):
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return sum(map(self.__getitem__, WORD_PATTERN.findall(text.lower())))
 
@@ -75,7 +101,7 @@ def frequent_words(docs: DataFrame, text_col: str, sample_docs: int, table_size:
     """The most frequent pre-tokens of sample_docs documents, whichever come first: at most table_size short strings."""
     seen = Counter()
     for (x,) in docs.select(text_col).take(sample_docs):  # reads only as many partitions as it needs
-        if x and not UNSAFE.search(x):
+        if x and not NOT_WORDS.search(x):
             seen.update(w for w in WORD_PATTERN.findall(x.lower()) if len(w) <= 64)
     return sorted(w for w, _ in seen.most_common(table_size))
 

@@ -29,6 +29,20 @@ def test_counts_equal_the_library():
         assert known.count(x) == len(known.tokenizer.encode(x, add_special_tokens=False).ids), x
 
 
+def test_counts_of_every_character_equal_the_library():
+    """Each character that the tiers take, in three places, and random strings of all of them; others go to the library."""
+    known = tokens.WordLengths(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")))
+    true = lambda x: len(known.tokenizer.encode(x, add_special_tokens=False).ids)
+    assert not any(tokens.NOT_WORDS.search(c) for c in tokens._WORDS) and tokens.NOT_WORDS.search("Ə") and tokens.NOT_WORDS.search("e\u0301")
+    for c in tokens._WORDS:
+        for x in (f"a{c}a", f"A{c}1{c} {c}{c}'s {c}"):
+            assert known.count(x) == true(x), hex(ord(c))
+    rng, low = random.Random(2), [chr(c) for c in range(0x250)]
+    for _ in range(100_000):
+        x = "".join(rng.choices(rng.choice([low, tokens._WORDS, [*low, *"’“—…абвГДЖ日本語한국か"]]), k=rng.randint(1, 12)))
+        assert known.count(x) == true(x), x
+
+
 def test_ids_equal_the_library():
     known = sstable.ids_of("byte_bpe_50k.json")
     for x in ODD + random_texts(seed=2):

@@ -236,3 +236,10 @@ def test_held_out_fold(spark):
     df = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long").select("doc_id", toxicity.in_fold("doc_id").alias("f"))
     assert all(r.f == (None if r.doc_id is None else zlib.crc32(str(r.doc_id).encode()) % 5) for r in df.collect())
     assert df.filter(F.col("f") != 0).count() < 50
+
+
+def test_large_ids_beside_null_ids(spark):
+    """Beyond 2**53 ids are not whole as floating-point numbers."""
+    ids = [(1 << 53) + 1, None, -(1 << 63), (1 << 63) - 1, None]
+    got = ngram.scores(spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string").coalesce(1)).collect()
+    assert sorted(map(repr, (r.doc_id for r in got))) == sorted(map(repr, ids))
