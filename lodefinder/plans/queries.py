@@ -12,7 +12,7 @@ from lodefinder.operators import audio, catalog_index, display, linkage, prefere
 from lodefinder.operators.scoring import SearchQuery
 from lodefinder.plans import oracle as sql
 from lodefinder.plans import search as plan
-from lodefinder.sources import tables
+from lodefinder.sources import connectors, tables
 from lodefinder.streaming.state import STREAMS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,7 +36,7 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def items_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.union_items(tables.sources(spark, sf_dir), spark)
+    return connectors.items(spark, sf_dir)
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def discover_union(spark, sf_dir):
 
 @query(f"WITH {sql.BASE} SELECT id, title FROM items WHERE kind = 'archive'")
 def source_pruning(spark, sf_dir):
-    return tables.union_items(tables.sources(spark, sf_dir, ["archive", "no such kind"]), spark).select("id", "title")
+    return connectors.items(spark, sf_dir, ["archive", "no such kind"]).select("id", "title")
 
 
 @query("WITH d AS (SELECT l_partkey, count(*) AS n, max(l_shipdate) AS last FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT p_partkey AS id, n AS view_count, last::DATE::VARCHAR AS last FROM part LEFT JOIN d ON l_partkey = p_partkey")
@@ -86,6 +86,40 @@ def payload_flatten(spark, sf_dir):
     return payload.select("id", read.alias("p")).select("id", F.coalesce("p.snippet.title", F.lit("")).alias("title"), F.col("p.statistics.viewCount").try_cast("long").alias("views"), F.col("p.snippet.channel").alias("channel"))
 
 
+#: Every fourth page is a text, not audio.
+MEDIA = "CASE WHEN page_id % 4 = 0 THEN 'texts' ELSE 'audio' END AS mediatype"
+
+
+@query(f"SELECT page_id::VARCHAR AS identifier, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title FROM (SELECT *, {MEDIA} FROM pages) WHERE mediatype = 'audio' AND contains({sql.folded("concat_ws(' ', nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), nullif(regexp_extract(url, '://([^/?#]*)', 1), ''))")}, 'example') ORDER BY page_id LIMIT 20")
+def archive_search(spark, sf_dir):
+    pages = t(spark, sf_dir, "pages")
+    docs = tables.page_docs(pages).join(pages.selectExpr("CAST(page_id AS STRING) AS identifier", MEDIA), "identifier")
+    return connectors.archive_search(docs, F.lit("Éxample")).select("identifier", "title")
+
+
+@query("SELECT 'youtube' AS kind, count(*) AS rows, false AS failed FROM part UNION ALL SELECT 'archive', count(*), false FROM pages UNION ALL SELECT 'broken', 0, true UNION ALL SELECT 'absent', 0, true")
+def isolated_sources(spark, sf_dir):
+    """Two more sources, one that fails while its rows are computed and one that has no table: the others' items are all there."""
+    connectors.register("broken", lambda s, d: tables.video_items(t(s, d, "part")).withColumn("title", F.when(F.col("item_pos") % 2 == 1, F.raise_error(F.lit("a broken row"))).otherwise(F.col("title"))))
+    connectors.register("absent", lambda s, d: t(s, d, "no_such_table"))
+    try:
+        made, report = connectors.landed(spark, sf_dir)
+    finally:
+        connectors.unregister("broken")
+        connectors.unregister("absent")
+    rows = made.groupBy("kind").agg(F.count("*").alias("rows"))
+    return report.select("kind", F.col("error").isNotNull().alias("failed")).join(rows, "kind", "left").select("kind", F.coalesce("rows", F.lit(0)).alias("rows"), "failed")
+
+
+@query("SELECT event_type, count(*) FILTER (WHERE event_id % 10 <> 0) AS kept, count(*) FILTER (WHERE event_id % 10 = 0) AS reported, coalesce(sum(json_extract_string(props, '$.k')::BIGINT) FILTER (WHERE event_id % 10 <> 0), 0)::BIGINT AS total FROM events GROUP BY event_type")
+def isolated_payloads(spark, sf_dir):
+    """Payloads of which every tenth has lost its last character: these are reported, the others read."""
+    cut = F.when(F.col("event_id") % 10 == 0, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+    read = connectors.parsed(t(spark, sf_dir, "events").select("event_type", cut.alias("payload")), "payload", "k long")
+    bad = F.col("corrupt").isNotNull()
+    return read.groupBy("event_type").agg(F.sum((~bad).cast("long")).alias("kept"), F.sum(bad.cast("long")).alias("reported"), F.coalesce(F.sum("k"), F.lit(0)).alias("total"))
+
+
 @query("SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host, regexp_matches(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '(^|\\.)(example\\.com|example\\.org)$') AS allowed FROM pages")
 def host_allowlist(spark, sf_dir):
     host = values.host_of(F.col("url"))

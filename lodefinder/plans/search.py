@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from lodefinder.functions import text
 from lodefinder.operators import linkage, preference, scoring
 from lodefinder.operators.scoring import SearchQuery
-from lodefinder.sources import tables
+from lodefinder.sources import connectors, tables
 
 #: Items taken of each source, and candidates enriched for one search.
 PER_SOURCE, ENRICHED = 20, 24
@@ -28,15 +28,13 @@ def containing(items: DataFrame, query_text: str) -> DataFrame:
 
 
 def discovered(spark: SparkSession, sf_dir: str, q: SearchQuery, per_source: int | None = PER_SOURCE) -> DataFrame:
-    parts = [containing(p, q.text) for p in tables.sources(spark, sf_dir, list(q.sources))]
-    items = tables.union_items(parts, spark)
+    items = containing(connectors.items(spark, sf_dir, list(q.sources)), q.text)
     return first_per_source(items, per_source) if per_source else items
 
 
 def all_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every item of every source as an enriched track."""
-    items = tables.union_items(tables.sources(spark, sf_dir), spark)
-    return linkage.tracks(linkage.candidates(items), tables.catalog(spark, sf_dir), tables.recordings(spark, sf_dir), tables.as_of())
+    return linkage.tracks(linkage.candidates(connectors.items(spark, sf_dir)), tables.catalog(spark, sf_dir), tables.recordings(spark, sf_dir), tables.as_of())
 
 
 def track_affinity(spark: SparkSession, sf_dir: str, tracks: DataFrame, user_id: int) -> DataFrame:

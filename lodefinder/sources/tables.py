@@ -83,22 +83,6 @@ def page_docs(pages: DataFrame) -> DataFrame:
     )
 
 
-def sources(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None) -> list[DataFrame]:
-    """The items of each known kind that is asked for (all without a list); unknown kinds give nothing."""
-    known = {"youtube": lambda: video_items(table(spark, sf_dir, "part")), "archive": lambda: archive_items(page_docs(table(spark, sf_dir, "pages")))}
-    return [make() for kind, make in known.items() if not kinds or kind in kinds]
-
-
-def union_items(parts: list[DataFrame], spark: SparkSession) -> DataFrame:
-    """All items one below the other, repeated ones too."""
-    if not parts:
-        return spark.createDataFrame([], "id string, kind string, native_id string, url string, title string, uploader string, duration_sec long, views long, published_at timestamp, item_pos long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 CREDITS = ["Bass Guitar", "Electric Piano", "Drums, Percussion", "Producer", "Bassoon"]
 
 
