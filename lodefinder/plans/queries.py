@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodefinder.functions import text, values, vocab
-from lodefinder.operators import audio, catalog_index, display, linkage, preference, scoring
+from lodefinder.operators import audio, catalog_index, display, fragments, linkage, preference, scoring
 from lodefinder.operators.scoring import SearchQuery
 from lodefinder.plans import oracle as sql
 from lodefinder.plans import search as plan
@@ -473,6 +473,29 @@ def key_estimate(spark, sf_dir):
     return t(spark, sf_dir, "embeddings").select("vec_id", audio.key_estimate(profile).alias("k")).select("vec_id", "k.key", "k.confidence")
 
 
+#: Rate, samples, frame and octaves of the fragments that stand in for audio; every tenth is cut short.
+RATE, SAMPLES, WINDOW, HEARD = 4000, 1024, 512, (3, 4, 5)
+
+
+@query(f"""WITH amps AS (SELECT vec_id, [abs(x::DOUBLE) FOR x IN embedding[1:12]] AS a FROM embeddings WHERE vec_id % 10 <> 3),
+samples AS (SELECT vec_id, t, floor(32767 * list_sum([a[i] * sin(2 * pi() * 440 * pow(2, (i - 10) / 12.0::DOUBLE) * t / {RATE}) FOR i IN range(1, 13)]) / list_sum(a) + 0.5) / 32768 AS x FROM amps, unnest(range(0, {SAMPLES})) AS r(t)),
+basis AS (SELECT n, m, h * cos(w * n) AS c, h * sin(w * n) AS s FROM (
+  SELECT n, m, 0.5 - 0.5 * cos(2 * pi() * n / {WINDOW}) AS h, 2 * pi() * 440 * pow(2, (m - 21) / 12.0::DOUBLE) / {RATE} AS w FROM unnest(range(0, {WINDOW})) AS a(n), unnest(range(0, 36)) AS b(m))),
+spectrum AS (SELECT vec_id, t // {WINDOW} AS frame, m, sqrt(pow(sum(x * c), 2) + pow(sum(x * s), 2)) AS g FROM samples JOIN basis ON n = t % {WINDOW} GROUP BY ALL),
+chroma AS (SELECT vec_id, m % 12 AS pitch, sum(g) / {SAMPLES // WINDOW} AS g FROM spectrum GROUP BY ALL),
+p AS (SELECT vec_id, list(g / total ORDER BY pitch) AS v FROM (SELECT *, sum(g) OVER (PARTITION BY vec_id) AS total FROM chroma) GROUP BY vec_id),
+c AS (SELECT vec_id, [x - list_sum(v) / 12 FOR x IN v] AS v FROM p), n AS (SELECT vec_id, v, sqrt(list_sum([x * x FOR x IN v])) AS norm FROM c),
+r AS (SELECT vec_id, i, key, round(list_sum([n.v[j] * t.v[j] FOR j IN range(1, 13)]) / norm, 6) AS r FROM n, {sql.TEMPLATES}),
+best AS (SELECT vec_id, key, round(greatest(0, least(1, (r + 1) / 2)), 2) AS confidence FROM r QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY r DESC, i) = 1)
+SELECT vec_id, key, confidence, vec_id % 10 = 3 AS failed FROM embeddings LEFT JOIN best USING (vec_id)""")
+def fragment_keys(spark, sf_dir):
+    """Keys of fragments that are made of the vectors: samples, windowed transform, pitch classes, correlation; broken ones are reported."""
+    made = fragments.tones(t(spark, sf_dir, "embeddings"), "vec_id", "embedding", RATE, SAMPLES)
+    cut = made.withColumn("data", F.when(F.col("vec_id") % 10 == 3, F.expr("substring(data, 1, 20)")).otherwise(F.col("data")))
+    found = fragments.analyzed(cut, "vec_id", "data", frame=WINDOW, hop=WINDOW, octaves=HEARD)
+    return found.select("vec_id", "key", F.col("key_confidence").alias("confidence"), F.col("error").isNotNull().alias("failed"))
+
+
 @query("""WITH m AS (SELECT vec_id, [list_sum([abs(embedding[12 * k + i]::DOUBLE) FOR k IN range(0, 5)]) / 5 FOR i IN range(1, 13)] AS p FROM embeddings)
 SELECT vec_id, unnest(range(0, 12))::INTEGER AS pitch, round(unnest(CASE WHEN list_sum(p) > 0 THEN [x / list_sum(p) FOR x IN p] ELSE p END), 9) AS share FROM m""")
 def chroma_mean(spark, sf_dir):
