@@ -76,6 +76,12 @@ def relayed(content_type: Column, body: Column) -> Column:
     return F.when(F.coalesce(content_type, F.lit("")).contains("json"), valid).otherwise(F.to_json(F.struct(body.alias("raw")), {"ignoreNullFields": "false"}))
 
 
+def remote_text(text: Column, genres: Column, instruments: Column) -> Column:
+    """What a search by text is asked for: text, genres and instruments with spaces between, without what is missing."""
+    words = F.concat(F.array(text), F.coalesce(genres, F.array().cast("array<string>")), F.coalesce(instruments, F.array().cast("array<string>")))
+    return F.array_join(F.filter(words, lambda w: w.isNotNull() & (w != "")), " ")
+
+
 def host_of(url: Column) -> Column:
     return F.lower(matched(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"))
 

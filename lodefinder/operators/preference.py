@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodefinder.functions.values import clamp
@@ -44,6 +44,17 @@ def affinity(pairs: DataFrame, attributes: DataFrame, learned: DataFrame, sums:
     return joined.select("user_id", "entity_id", value.alias("affinity"))
 
 
+COUNTER_SCHEMA, TOTAL_SCHEMA = "user_id long, dim string, key string, weight double", "user_id long, total double"
+
+
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What was kept under a path, or the empty state of that schema where nothing has been kept yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.read.schema(schema).parquet(path)
+    return spark.createDataFrame([], schema)
+
+
 def last_of(condition: Column, *columns: str) -> Column:
     return F.max(F.when(condition, F.struct("ts", "event_id", *columns)))
 
@@ -70,6 +81,11 @@ def hidden(results: DataFrame, seen: DataFrame, id_col: str = "entity_id") -> Da
     return results.join(seen.select(id_col).distinct(), id_col, "left_anti")
 
 
+def dropped(results: DataFrame, actions: DataFrame) -> DataFrame:
+    """Results without what was rejected since they were shown; a later save does not bring a row back."""
+    return hidden(results, actions.filter(F.col("action") == "reject"))
+
+
 def mark_seen(stored: DataFrame, new: DataFrame, order: str = "item_pos") -> DataFrame:
     """Stored rows, and new ones whose id is not stored, with status 'seen'; of equal ids the first."""
     first = new.groupBy("entity_id").agg(F.min(F.struct(order, *(c for c in new.columns if c not in ("entity_id", order)))).alias("r")).select("entity_id", "r.*").drop("status")

@@ -276,15 +276,23 @@ def remote_title() -> F.Column:
     return F.concat("artist", F.lit(" - "), "title", F.when(F.col("catalog_id") % 5 == 0, " - reissue").otherwise(""))
 
 
-@query(f"""WITH {sql.BASE}, docs AS (SELECT catalog_id AS doc, artist || ' - ' || title || CASE WHEN catalog_id % 5 = 0 THEN ' - reissue' ELSE '' END AS shown FROM catalog),
+def bm25(docs: str, asked: str, n: int) -> str:
+    """CTEs up to ranked (q, doc, rank, score) for selections of docs (doc, shown) and of asked texts (q), folded."""
+    return f"""docs AS ({docs}),
 words AS (SELECT doc, [w FOR w IN regexp_split_to_array({sql.folded('shown')}, '\\s+') IF w <> ''] AS w FROM docs), full_words AS (SELECT * FROM words WHERE len(w) > 0),
 sizes AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM full_words),
 postings AS (SELECT term, doc, size, count(*) AS tf FROM (SELECT doc, len(w) AS size, unnest(w) AS term FROM full_words) GROUP BY ALL),
 terms AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
-asked AS (SELECT DISTINCT q, unnest(regexp_split_to_array({sql.folded('q')}, '\\s+')) AS term FROM (SELECT DISTINCT f AS q FROM named)),
+asked AS (SELECT DISTINCT q, unnest(regexp_split_to_array({sql.folded('q')}, '\\s+')) AS term FROM ({asked})),
 scores AS (SELECT q, doc, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean)))), 9) AS score
   FROM asked JOIN terms USING (term) JOIN postings USING (term), sizes GROUP BY q, doc),
-ranked AS (SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc)::INTEGER AS rank, score FROM scores QUALIFY rank <= 10)
+ranked AS (SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc)::INTEGER AS rank, score FROM scores QUALIFY rank <= {n})"""
+
+
+SHOWN = "SELECT catalog_id AS doc, artist || ' - ' || title || CASE WHEN catalog_id % 5 = 0 THEN ' - reissue' ELSE '' END AS shown FROM catalog"
+
+
+@query(f"""WITH {sql.BASE}, {bm25(SHOWN, "SELECT DISTINCT f AS q FROM named", 10)}
 SELECT item_pos, doc AS catalog_id, rank, round(score, 6) AS score, string_split(shown, ' - ')[1] AS artist, string_split(shown, ' - ')[2] AS title FROM named JOIN ranked ON q = f JOIN docs USING (doc)""")
 def catalog_search(spark, sf_dir):
     """The ten most relevant releases for each item's artist and title, as a search shows them."""
@@ -295,6 +303,39 @@ def catalog_search(spark, sf_dir):
     return named.join(best, "q").join(docs, "doc").select("item_pos", F.col("doc").alias("catalog_id"), "rank", F.round("score", 6).alias("score"), artist.alias("artist"), title.alias("title"))
 
 
+#: What each type of part is searched by: its words, and an instrument for two thirds of them.
+WANTED = "SELECT DISTINCT p_type AS kind, CASE len(p_type) % 3 WHEN 0 THEN NULL WHEN 1 THEN 'Bass' ELSE 'Rhodes' END AS instrument FROM part"
+
+
+@query(f"""WITH {sql.BASE}, wanted AS (SELECT kind, concat_ws(' ', 'brand', kind, instrument) AS asked FROM ({WANTED})),
+{bm25("SELECT item_pos AS doc, title AS shown FROM items", "SELECT DISTINCT asked AS q FROM wanted", 20)}
+SELECT kind, asked, doc AS item_pos, rank, round(score, 6) AS score FROM wanted JOIN ranked ON q = asked""")
+def remote_search(spark, sf_dir):
+    """The twenty most relevant items for text, genre and instrument as one query, for each type of part."""
+    t(spark, sf_dir, "part").createOrReplaceTempView("part")
+    asked = values.remote_text(F.lit("brand"), F.array("kind"), F.array_compact(F.array("instrument")))
+    wanted = spark.sql(WANTED.replace("len(", "length(")).select("kind", asked.alias("asked"))
+    titles = items_of(spark, sf_dir).select(F.col("item_pos").alias("doc"), "title")
+    best = catalog_index.best_documents(wanted.select(F.col("asked").alias("q")).distinct(), catalog_index.index_of(titles, "doc", F.col("title")), 20)
+    return wanted.join(best, F.col("asked") == F.col("q")).select("kind", "asked", F.col("doc").alias("item_pos"), "rank", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN 'Unknown' WHEN p_partkey % 3 = 0 THEN p_brand || ', The ' || p_type ELSE p_brand END AS artist, CASE WHEN p_partkey % 11 <> 0 THEN p_name END AS title,
+CASE WHEN p_partkey % 11 <> 0 AND p_partkey % 5 <> 0 THEN 1950 + p_size END::INTEGER AS year, CASE WHEN p_partkey % 11 <> 0 AND p_partkey % 4 <> 0 THEN p_mfgr END AS label, CASE WHEN p_partkey % 11 <> 0 THEN p_size END::BIGINT AS want,
+CASE WHEN p_partkey % 11 <> 0 AND p_partkey % 3 = 0 THEN 'Drums' END AS credit, p_partkey % 11 = 0 AS broken FROM (SELECT *, p_brand || ' Records' AS p_mfgr FROM part)""")
+def catalog_payload(spark, sf_dir):
+    """Release payloads to catalog rows: several artists, none, several labels, year 0, credits, and payloads cut short."""
+    k = F.col("p_partkey")
+    name = lambda c: F.struct(c.alias("name"))
+    artists = F.when(k % 7 == 0, F.array().cast("array<struct<name:string>>")).when(k % 3 == 0, F.array(name(F.col("p_brand")), name(F.concat(F.lit("The "), "p_type")))).otherwise(F.array(name(F.col("p_brand"))))
+    labels = F.when(k % 4 != 0, F.array(name(F.concat("p_brand", F.lit(" Records"))), name(F.lit("Second"))))
+    credits = F.when(k % 3 == 0, F.array(F.struct(F.col("p_brand").alias("name"), F.lit("Drums").alias("role"))))
+    whole = F.to_json(F.struct(k.alias("id"), F.col("p_name").alias("title"), F.when(k % 5 == 0, 0).otherwise(F.lit(1950) + F.col("p_size")).alias("year"), artists.alias("artists"), labels.alias("labels"), credits.alias("extraartists"), F.struct(F.col("p_size").alias("want")).alias("community")))
+    payload = t(spark, sf_dir, "part").select(k.alias("pos"), whole.alias("j")).select("pos", F.when(F.col("pos") % 11 == 0, F.expr("left(j, length(j) - 3)")).otherwise(F.col("j")).alias("j"))
+    got = connectors.releases(payload, "j")
+    return got.select(F.col("pos").alias("id"), "artist", F.when(F.col("corrupt").isNull(), F.col("title")).alias("title"), F.when(F.col("corrupt").isNull(), F.col("year")).alias("year"), F.when(F.col("corrupt").isNull(), F.col("label")).alias("label"), F.when(F.col("corrupt").isNull(), F.col("want")).alias("want"), F.when(F.col("corrupt").isNull(), F.try_element_at("credits", F.lit(1))["role"]).alias("credit"), F.col("corrupt").isNotNull().alias("broken"))
+
+
 @query(f"WITH {sql.BASE} SELECT b.item_pos, r.artist, r.title, r.year, r.label, r.country, r.want, r.have, r.genres[1] AS genre FROM best b JOIN catalog r USING (catalog_id)")
 def catalog_lookup(spark, sf_dir):
     cat = tables.catalog(spark, sf_dir)
@@ -317,6 +358,16 @@ def instrument_choice(spark, sf_dir):
     return plan.all_tracks(spark, sf_dir).select("item_pos", joined(i["value"]).alias("instruments"), i["source"].alias("source"), i["method"].alias("method"), values.provenance_label(i).alias("label"))
 
 
+@query(f"""WITH {sql.TRACKS}, h AS (SELECT *, lower(concat_ws(' ', title, array_to_string(coalesce(genres, []), ' '), array_to_string(coalesce(styles, []), ' '))) AS hints FROM tracks)
+SELECT item_pos, c_bpm AS bpm, CASE WHEN c_bpm IS NOT NULL THEN 'youtube_title parsed 0.6' END AS bpm_from, c_key AS key, CASE WHEN c_key IS NOT NULL THEN 'youtube_title parsed 0.5' END AS key_from,
+  {sql.hint_list('hints', vocab.FEELS)} AS feels, {sql.hint_list('hints', vocab.TEXTURES)} AS textures, 'inferred inferred 0.55' AS mood_from FROM h""")
+def track_provenance(spark, sf_dir):
+    """Where each track's tempo, key and mood come from; a mood is always there."""
+    origin = lambda p: F.when(p.isNotNull(), F.concat_ws(" ", p["source"], p["method"], p["confidence"].cast("string")))
+    made = plan.all_tracks(spark, sf_dir)
+    return made.select("item_pos", F.col("bpm.value").alias("bpm"), origin(F.col("bpm")).alias("bpm_from"), F.col("key.value").alias("key"), origin(F.col("key")).alias("key_from"), joined("mood.value.feels").alias("feels"), joined("mood.value.textures").alias("textures"), origin(F.col("mood")).alias("mood_from"))
+
+
 LABELS = "CASE p_partkey % 5 WHEN 0 THEN 'catalog' WHEN 1 THEN 'parsed' WHEN 2 THEN 'analyzed' WHEN 3 THEN 'inferred' ELSE 'manual' END"
 
 
@@ -433,6 +484,12 @@ def hide_seen(spark, sf_dir):
     return preference.hidden(results, acts(spark, sf_dir).filter(F.col("user_id") == USER))
 
 
+@query(f"WITH {sql.ACTIONS} SELECT p_partkey AS entity_id, p_name FROM part WHERE p_partkey NOT IN (SELECT entity_id FROM actions WHERE user_id = {USER} AND action = 'reject')")
+def drop_rejected(spark, sf_dir):
+    results = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), "p_name")
+    return preference.dropped(results, acts(spark, sf_dir).filter(F.col("user_id") == USER))
+
+
 STORED = "SELECT p_partkey AS entity_id, p_partkey AS item_pos, p_name AS name, CASE WHEN p_partkey % 3 = 0 THEN 'saved' ELSE 'seen' END AS status FROM part WHERE p_partkey % 2 = 0"
 
 

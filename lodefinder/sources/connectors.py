@@ -91,3 +91,23 @@ def archive_search(docs: DataFrame, words: Column, media: str = "audio", limit:
 
     held = text.folded(F.concat_ws(" ", "title", F.array_join("creator", " ")))
     return docs.filter(F.col("mediatype") == media).filter(held.contains(text.folded(words))).orderBy("pos").limit(limit)
+
+
+RELEASE = "id long, title string, year int, artists array<struct<name:string>>, labels array<struct<name:string>>, country string, genres array<string>, styles array<string>, extraartists array<struct<name:string,role:string>>, community struct<want:long,have:long>"
+
+
+def releases(payloads: DataFrame, json_col: str) -> DataFrame:
+    """Catalog rows from release payloads: artists joined by commas or 'Unknown', the first label, year 0 as unknown, credits.
+
+    A payload that can not be read gives a row of nulls with the text in corrupt. Columns beside json_col are kept.
+    """
+    kept = [c for c in payloads.columns if c != json_col]
+    fields = T.StructType.fromDDL(RELEASE)
+    made = payloads.select(*kept, F.from_json(json_col, T.StructType([*fields.fields, T.StructField("corrupt", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}).alias("r"))
+    names = F.filter(F.col("r.artists.name"), lambda n: n.isNotNull() & (n != ""))
+    return made.select(
+        *kept, F.col("r.id").alias("catalog_id"),
+        F.when(F.col("r.corrupt").isNull(), F.coalesce(F.nullif(F.array_join(names, ", "), F.lit("")), F.lit("Unknown"))).alias("artist"),
+        F.col("r.title").alias("title"), F.nullif("r.year", F.lit(0)).alias("year"), F.try_element_at("r.labels", F.lit(1))["name"].alias("label"), F.col("r.country").alias("country"),
+        F.col("r.genres").alias("genres"), F.col("r.styles").alias("styles"), F.col("r.extraartists").alias("credits"), F.col("r.community.want").alias("want"), F.col("r.community.have").alias("have"), F.col("r.corrupt").alias("corrupt"),
+    )

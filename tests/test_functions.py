@@ -227,3 +227,31 @@ def test_search_folds_the_query(spark):
     items = spark.createDataFrame([(1, "Bränd#7 - Steel Song"), (2, "Brand 8"), (3, None)], "id long, title string")
     found = lambda q: sorted(r.id for r in containing(items, q).collect())
     assert found("Brand") == found("bränd") == [1, 2] and found("brand#7") == [1] and found("steel-song BRAND") == [1] and found("#") == [1, 2]
+
+
+def test_blank_searches_give_no_rows(spark, sf_dir):
+    from lodefinder.plans import search as plan
+
+    for blank in ("", " \t "):
+        made = plan.search(spark, sf_dir, SearchQuery(text=blank))
+        assert made.count() == 0 and made.columns[:2] == ["entity_id", "item_pos"]
+
+
+def test_empty_preferences(spark):
+    """Before anything is kept there is an empty state, and everyone's affinity is neutral."""
+    from lodefinder.session import fresh_path
+
+    path = fresh_path(spark, "kept")
+    learned, sums = preference.stored(spark, path, preference.COUNTER_SCHEMA), preference.stored(spark, path + "-sums", preference.TOTAL_SCHEMA)
+    assert learned.count() == sums.count() == 0 and learned.columns == ["user_id", "dim", "key", "weight"]
+    attrs = spark.createDataFrame([(1, "genres", "a")], "entity_id long, dim string, key string")
+    pairs = spark.createDataFrame([(7, 1)], "user_id long, entity_id long")
+    assert [r.affinity for r in preference.affinity(pairs, attrs, learned, sums).collect()] == [0.5]
+    preference.counters(actions(spark, [(7, 1, "save", 1, 1)]), attrs).write.parquet(path)
+    assert [tuple(r) for r in preference.stored(spark, path, preference.COUNTER_SCHEMA).collect()] == [(7, "genres", "a", 1.0)]
+
+
+def test_remote_text(spark):
+    df = spark.createDataFrame([("a", ["b", None, ""], None), (None, None, ["c"]), ("", [], [])], "t string, g array<string>, i array<string>")
+    assert [r.x for r in df.select(values.remote_text(F.col("t"), F.col("g"), F.col("i")).alias("x")).collect()] == ["a b", "c", ""]
+    assert SearchQuery(text="a", genres=("b",), instruments=("c",)).remote_text() == "a b c"
