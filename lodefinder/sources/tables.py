@@ -11,7 +11,6 @@ from lodefinder.functions.values import bpm_bucket, decade
 #: "Now" for every age; results must not depend on the day they are computed.
 AS_OF = "2024-02-01"
 SUFFIXES = [" [%d bpm F# minor]", " [Am groove]", " [%d BPM Bb maj]", " [A Minor x]", " [Em7]", " [key of dreams]", ""]
-ITEM_COLUMNS = ["id", "kind", "native_id", "url", "title", "uploader", "duration_sec", "views", "published_at", "item_pos"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
