@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from lodefinder.functions import text, values, vocab
 from lodefinder.operators import audio, catalog_index, display, fragments, linkage, preference, scoring
+from lodefinder.operators.preference_store import PreferenceStore
 from lodefinder.operators.scoring import SearchQuery
 from lodefinder.plans import oracle as sql
 from lodefinder.plans import search as plan
+from lodefinder.session import fresh_path
 from lodefinder.sources import connectors, tables
 from lodefinder.streaming.state import STREAMS
 
@@ -463,6 +465,24 @@ def affinity_score(spark, sf_dir):
     return made.select("user_id", "entity_id", F.round("affinity", 6).alias("affinity"))
 
 
+def kept_preferences(spark, sf_dir) -> PreferenceStore:
+    store = PreferenceStore(spark, fresh_path(spark, "preferences"))
+    store.describe(attrs(spark, sf_dir))
+    store.add(acts(spark, sf_dir))
+    store.learn()
+    return store
+
+
+@query(ORACLE["affinity_counters"])
+def kept_counters(spark, sf_dir):
+    return kept_preferences(spark, sf_dir).counters()
+
+
+@query(ORACLE["affinity_score"])
+def kept_affinity(spark, sf_dir):
+    return kept_preferences(spark, sf_dir).affinity().withColumn("affinity", F.round("affinity", 6))
+
+
 @query(f"WITH {sql.STATUS} SELECT * FROM statuses")
 def status_fold(spark, sf_dir):
     return preference.statuses(acts(spark, sf_dir))
