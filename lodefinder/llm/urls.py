@@ -1,7 +1,7 @@
 """URL filters: rules by host and path, and for the rest naive Bayes over segmented host and path words.
 
-A unigram lexicon of the LEXICON most frequent words of all pages' texts is counted once. Names that run words
-together are split by Viterbi search for the most likely sequence of words. Pages that a rule decides are the
+A unigram lexicon of at most LEXICON words, the most frequent of all pages' texts, is counted once; words of one
+count are in it together or not at all. Names that run words together are split by Viterbi search for the most likely sequence of words. Pages that a rule decides are the
 training examples: their host and path words are counted for each verdict over all pages, and a multinomial naive
 Bayes classifier with these counts judges the pages that no rule fits. Words are those of the lexicon, numbers, or
 "unknown", so the tables that are broadcast are bounded by LEXICON.
@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodefinder.llm.common import map_text, tune
+from lodefinder.llm.common import map_text, staged, tune
 
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 LEXICON, MAX_WORD, CACHE_SIZE = 50_000, 24, 500_000
+#: Parts of the range of counts in which one step looks for the lexicon's least count.
+RANGES = 1024
 TAG = re.compile(r"<[^>]*>")
 WORD = re.compile(r"[^\W\d_]+")
 PIECE = re.compile(r"[^\W\d_]+|\d+")
@@ -96,8 +98,29 @@ class Segmenter:
         return out
 
 
+def least_count(counted: DataFrame, size: int) -> int:
+    """The smallest count that at most size rows of counted (w, n) reach.
+
+    Each step splits the open range into RANGES parts and counts the rows in each, so
+    the driver sees at most RANGES numbers a step, and a few steps find the count whatever the table's size.
+    """
+    low, high, above = 1, (counted.agg(F.max("n")).first()[0] or 0) + 1, 0
+    while low < high:
+        step = -(-(high - low) // RANGES)
+        part = F.floor((F.col("n") - low) / step).alias("part")
+        found = dict(map(tuple, counted.filter((F.col("n") >= low) & (F.col("n") < high)).groupBy(part).count().collect()))
+        for p in range((high - 1 - low) // step, -1, -1):
+            if above + found.get(p, 0) > size:
+                low, high = (low + p * step, min(high, low + (p + 1) * step)) if step > 1 else (low + p + 1, low + p + 1)
+                break
+            above += found.get(p, 0)
+        else:
+            high = low
+    return low
+
+
 def lexicon_of(pages: DataFrame, html_col: str, size: int = LEXICON) -> dict[str, int]:
-    """The most frequent words of all pages' texts without tags, and their counts."""
+    """The most frequent words of all pages' texts without tags, at most size, and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -116,8 +139,8 @@ def lexicon_of(pages: DataFrame, html_col: str, size: int = LEXICON) -> dict[str
         yield flush()
 
     tune(pages.sparkSession)
-    counted = pages.select(html_col).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return {r["w"]: r["n"] for r in counted.orderBy(F.desc("n"), "w").limit(size).collect()}
+    counted = staged(pages.select(html_col).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
+    return {r["w"]: r["n"] for r in counted.filter(F.col("n") >= least_count(counted, size)).collect()}
 
 
 #: This worker's segmenter, by the lexicon's name.
