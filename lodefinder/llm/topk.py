@@ -16,10 +16,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodefinder.llm.common import staged
 
 QUERY_ROWS, CANDIDATE_ROWS, FAN = 512, 4096, 16
+#: A block's number is its partition's in the upper half, and its place there, from 1, in the lower.
+PLACE = (1 << 32) - 1
 BLOCK = "block long, dim int, n int, ids binary, rows binary"
 
 
@@ -125,7 +128,7 @@ def top_k(df: DataFrame, queries: F.Column, id_col: str = "vec_id", vector_col:
         return pd.DataFrame({"q_block": [pdf["q_block"].iloc[0]], "c_block": [pdf["c_block"].min()], "q": [q[keep].tobytes()], "v": [v[keep].tobytes()], "s": [s[keep].tobytes()]})
 
     n = candidates.count()
-    ranked = lists.withColumn("node", F.dense_rank().over(order_of("q_block", "c_block")) - 1)
+    ranked = lists.join(F.broadcast(numbered(candidates)), F.shiftright("c_block", 32) == F.col("part")).withColumn("node", F.col("before") + F.col("c_block").bitwiseAND(PLACE) - 1)
     while n > 1:
         ranked = ranked.withColumn("node", F.floor(F.col("node") / FAN))
         n = -(-n // FAN)
@@ -143,10 +146,11 @@ def top_k(df: DataFrame, queries: F.Column, id_col: str = "vec_id", vector_col:
     return ranked.select("q", "v", "s").mapInArrow(unpack, "query_id long, rank int, vec_id long, score long")
 
 
-def order_of(part: str, by: str):
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy(part).orderBy(by)
+def numbered(packed: DataFrame) -> DataFrame:
+    """(part, before): for each partition that packed blocks, how many blocks those before it packed; one row a partition."""
+    counts = packed.groupBy(F.shiftright("block", 32).alias("part")).agg(F.max(F.col("block").bitwiseAND(PLACE)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    return counts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
 
 
 ORACLE = """
