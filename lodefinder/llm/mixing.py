@@ -16,6 +16,7 @@ The steps' residuals are all a rate depends on besides its own posteriors, so ra
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,10 +25,11 @@ from pyspark.sql import types as T
 
 from lodefinder.llm.common import fresh, staged
 
-TRAIN_DOCS, FEATURES, MIN_DOCS = 10_000, 64, 10
+TRAIN_DOCS, FEATURES = 10_000, 64
 #: Features in at most this share of the documents also count where they lack.
 RARE = 0.25
-STEPS, TOLERANCE = 25, 1e-4
+#: Steps stop within the tolerance, or with a warning after so many or where they move nothing; the rows are whole either way.
+STEPS, TOLERANCE = 100, 1e-4
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.85, "low": 0.10, "toxic": 0.05}
 
@@ -99,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, domain: F.Column, domains: list[str]
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
     counted = rows.select("__domain", F.explode(F.array_append(F.array_distinct(features_of(text_col)), F.lit("\t"))).alias("w")).groupBy("w", "__domain").agg(F.count("*").alias("n"))
     wide = counted.groupBy("w").agg(*(F.coalesce(F.sum(F.when(F.col("__domain") == d, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, d in enumerate(domains)))
-    wide = staged(wide.withColumn("n", sum((F.col(f"n{i}") for i in range(len(domains))), F.lit(0))).filter((F.col("n") >= MIN_DOCS) | (F.col("w") == "\t")), "features")
+    wide = staged(wide.withColumn("n", sum((F.col(f"n{i}") for i in range(len(domains))), F.lit(0))), "features")
     docs_of = wide.filter(F.col("w") == "\t").first()
     sizes = {d: docs_of[f"n{i}"] if docs_of else 0 for i, d in enumerate(domains)}
     total = max(1, sum(sizes.values()))
@@ -140,6 +142,7 @@ def mixed(
     so that a document which surely belongs to that domain gets the rate factor; shares stay as they are. copies: how often to take the document, rate rounded up or
     down by a hash of its id and text, so that its mean is the rate. A null text has no tokens and the posteriors of
     an empty one. A domain without any mass cannot meet its target and is left alone; no labels: equal posteriors.
+    Totals that have not met their targets when steps move nothing more, or after STEPS steps, give a warning that states both.
     """
     targets = targets or TARGETS
     domains = sorted(targets)
@@ -165,12 +168,17 @@ def mixed(
     wanted = [budget * targets[d] / share for d in domains]
     steps: list[list[float]] = []
     now = mass
-    while len(steps) < STEPS and budget:
+    last = None
+    while budget:
         gap = np.array([n - w if m > 1e-9 * budget else 0.0 for n, w, m in zip(now, wanted, mass, strict=True)])
         if abs(gap).max() <= TOLERANCE * budget:
             break
+        # a step that moves no total has reached the least squares that rates above 0 can give
+        if len(steps) == STEPS or last is not None and np.abs(np.subtract(now, last)).max() <= 1e-3 * TOLERANCE * budget:
+            warnings.warn(f"domain totals {now} after {len(steps)} steps, wanted {wanted}", stacklevel=2)
+            break
         steps.append([float(x) for x in np.linalg.solve(curve, gap)])
-        now = totals(rate_of(F.col(p), steps))
+        last, now = now, totals(rate_of(F.col(p), steps))
     scale = 1.0
     if anchor:
         pure = 1.0

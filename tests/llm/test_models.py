@@ -232,6 +232,37 @@ def test_url_query_against_brute_force(spark, sf_dir):
     assert urls.judged(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ranges", [2, 1024])
+def test_least_count_of_the_lexicon(spark, monkeypatch, ranges):
+    monkeypatch.setattr(urls, "RANGES", ranges)
+    counts = [1] * 7 + [2] * 3 + [5, 5, 90, 4000, 10**12]
+    df = spark.createDataFrame([(f"w{i}", n) for i, n in enumerate(counts)], "w string, n long")
+    for size in range(len(counts) + 2):
+        least = urls.least_count(df, size)
+        assert sum(n >= least for n in counts) <= size and (least == 1 or sum(n >= least - 1 for n in counts) > size)
+    assert urls.least_count(df.limit(0), 3) == 1
+
+
+def test_lexicon_keeps_words_of_one_count_together(spark):
+    pages = spark.createDataFrame([("<p>a a a b b c c</p> d",), (None,), ("",)], "html string")
+    assert urls.lexicon_of(pages, "html", 4) == {"a": 3, "b": 2, "c": 2, "d": 1}
+    assert urls.lexicon_of(pages, "html", 2) == {"a": 3}
+    assert urls.lexicon_of(pages.limit(0), "html", 2) == {}
+
+
+def test_mixing_learns_from_few_labels(spark):
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(["good prose here", "good prose there", "vile vile words", "vile vile text"])], "doc_id long, text string")
+    got = mixing.mixed(docs, labels(spark, [(0, 1, 0), (2, 0, 1)]), ["doc_id"], {"clean": 0.5, "toxic": 0.5}).orderBy("doc_id").collect()
+    assert got[1].p_clean > 0.5 > got[1].p_toxic and got[3].p_toxic > 0.5 > got[3].p_clean
+
+
+def test_mixing_says_when_totals_miss_their_targets(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 0)
+    docs = read_table(spark, sf_dir, "documents")
+    with pytest.warns(UserWarning, match="after 0 steps"):
+        assert mixing.mixed(docs, read_table(spark, sf_dir, "labels"), ["doc_id"], {"clean": 0.8, "low": 0.2}).count() == docs.count()
+
+
 def test_held_out_fold(spark):
     df = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long").select("doc_id", toxicity.in_fold("doc_id").alias("f"))
     assert all(r.f == (None if r.doc_id is None else zlib.crc32(str(r.doc_id).encode()) % 5) for r in df.collect())
