@@ -68,6 +68,21 @@ def drop_staged(df: DataFrame) -> None:
         remove_path(spark, folder)
 
 
+#: What this worker keeps between its tasks: the object of the operator that it ran last.
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """The object that make gives, kept in this worker until it is asked for another.
+
+    Workers are used again by later stages; so the largest of their caches, not all together, bounds what they hold.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def fresh(name: str, taken) -> str:
     """name, or name with underscores before it until it differs from all taken names."""
     taken = {c.lower() for c in taken}

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodefinder.llm.common import map_text
+from lodefinder.llm.common import held, map_text
 
 #: Labelled rows that training may use at most (the smallest hashes of their ids).
 TRAIN_DOCS = 3_000
@@ -227,10 +227,6 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 
-#: This worker's scorer, by the model's name.
-_SCORERS: dict[str, Scorer] = {}
-
-
 def in_fold(id_col: str, folds: int = 5) -> F.Column:
     return F.crc32(F.col(id_col).cast("string")) % folds
 
@@ -257,10 +253,7 @@ def toxicity_scores(docs: DataFrame, model: Model, keep: list[str], text_col: st
     sent, name = docs.sparkSession.sparkContext.broadcast((model.along, model.scale, model.bias)), uuid.uuid4().hex
 
     def start():
-        if name not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[name] = Scorer(Model.of(*sent.value))
-        scorer = _SCORERS[name]
+        scorer = held(("toxicity", name), lambda: Scorer(Model.of(*sent.value)))
         return lambda texts: [scorer.scores(texts).tolist()]
 
     return map_text(docs, text_col, keep, [(score_col, T.DoubleType())], start)

@@ -9,10 +9,11 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import tiktoken
+from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer
 
 from lodefinder.llm import bpe, sstable, tokens, wfst
-from lodefinder.llm.common import fresh_path, read_table
+from lodefinder.llm.common import fresh_path, held, read_table
 from tests.llm.helpers import ROWS, no_docs, odd_docs
 
 ODD = ["", " ", "  a  b ", "▁x ▁▁ y", "\n\n\t tab", "<0x41> <s> </s>", "\x00\x01\x1c a", "ﬁ ½ ²³", "x" * 300, "    " * 40, "Σας ΟΔΟΣ", "İstanbul I'm don''t 'S", "\xa0\x85 a  \n\n b  ", "<|startoftext|>a<|endoftext|>"]
@@ -57,6 +58,73 @@ def test_pieces_equal_the_library():
         assert ids == lib.encode(x), x
         assert machine.decode(machine.encode(x)) == lib.decode(ids), x
 
+def own_model(path, model_type, rules="nmt_nfkc", byte_pieces=True, prefix=True, squeeze=True, seed=1, whole=False):
+    """A model with pieces and scores at random, which no one trained, and the normaliser of a rule that the library knows."""
+    rng, spec = random.Random(seed), sentencepiece_model_pb2.ModelProto()
+    names = {"".join(rng.choices("abcé日fi1", k=rng.randint(1, 4))) for _ in range(120)} | set("▁abcé1fi")
+    names |= {"▁" + x for x in list(names)[:60] if "▁" not in x} | {"▁▁"}
+    if whole:
+        names |= {"a▁b", "c▁"}
+    for name, score, kind in [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3)]:
+        spec.pieces.add(piece=name, score=score, type=kind)
+    for b in range(256 * byte_pieces):
+        spec.pieces.add(piece=f"<0x{b:02X}>", score=0, type=6)
+    for k, name in enumerate(rng.sample(sorted(names), len(names))):
+        spec.pieces.add(piece=name, score=-k if model_type == 2 else -rng.uniform(1, 12), type=1)
+    spec.trainer_spec.model_type, spec.trainer_spec.byte_fallback = model_type, byte_pieces
+    norm = sentencepiece_model_pb2.ModelProto()
+    norm.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rules).serialized_model_proto())
+    spec.normalizer_spec.CopyFrom(norm.normalizer_spec)
+    spec.normalizer_spec.add_dummy_prefix, spec.normalizer_spec.remove_extra_whitespaces = prefix, squeeze
+    spec.normalizer_spec.escape_whitespaces = True
+    path.write_bytes(spec.SerializeToString())
+    return str(path)
+
+
+@pytest.mark.parametrize("model_type", [1, 2])
+@pytest.mark.parametrize("rules, byte_pieces, prefix, squeeze, whole", [("nmt_nfkc", True, True, True, False), ("nfkc_cf", False, True, False, False), ("identity", False, False, True, True), ("nmt_nfkc", False, False, False, False)])
+def test_other_models_equal_the_library(tmp_path, model_type, rules, byte_pieces, prefix, squeeze, whole):
+    path = own_model(tmp_path / "own.model", model_type, rules, byte_pieces, prefix, squeeze, whole=whole)
+    lib, machine, rng = sentencepiece.SentencePieceProcessor(model_file=path), wfst.Transducer(path), random.Random(9)
+    assert machine.splits != whole
+    texts = ["".join(rng.choices("aaabbccé  ▁ﬁ日①ＡＢé​ \u0001が☃ß", k=rng.randint(1, 40))) for _ in range(1500)]
+    for x in ODD + random_texts(seed=7) + texts:
+        ids = np.frombuffer(machine.encode(x), dtype="<u4").tolist()
+        assert ids == lib.encode(x), x
+        assert machine.decode(machine.encode(x)) == lib.decode(ids), x
+
+
+def test_rules_of_every_character_equal_the_library(tmp_path):
+    path = own_model(tmp_path / "own.model", 1, prefix=False, squeeze=False)
+    machine, norm = wfst.Transducer(path).normaliser, sentencepiece.SentencePieceNormalizer(model_file=path)
+    for c in [*range(1, 0xD800), *range(0xE000, 0x30000, 3)]:
+        assert machine(f"a{chr(c)}b") == norm.normalize(f"a{chr(c)}b"), hex(c)
+
+
+def test_own_model_in_a_query(spark, tmp_path):
+    path = own_model(tmp_path / "own.model", 1)
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = wfst.encode(odd_docs(spark), ["text"], model=path).collect()
+    assert len(got) == len(ROWS)
+    assert all(list(r.ids) == lib.encode(r.text or "") and r.decoded == lib.decode(list(r.ids)) for r in got)
+
+
+def test_models_that_are_not_supported_are_named(tmp_path):
+    spec = sentencepiece_model_pb2.ModelProto()
+    path = tmp_path / "own.model"
+    own_model(path, 1)
+    spec.ParseFromString(path.read_bytes())
+    spec.pieces.add(piece="zz", score=0, type=4)
+    path.write_bytes(spec.SerializeToString())
+    with pytest.raises(ValueError, match="user-defined"):
+        wfst.Transducer(str(path))
+
+
+def test_a_worker_holds_one_cache():
+    machine = wfst.machine_of("piece_bpe_32k.model")
+    assert wfst.machine_of("piece_bpe_32k.model") is machine
+    assert held(("another",), list) == [] and wfst.machine_of("piece_bpe_32k.model") is not machine
+
 
 def test_count_query(spark):
     got = tokens.token_counts(odd_docs(spark)).collect()
