@@ -54,18 +54,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a staged folder through Hadoop's file system, on whatever store it lies."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def drop_staged(df: DataFrame) -> None:
-    """Delete the files behind a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        remove_path(spark, folder)
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete the files of tables that staged gave and that nothing reads any more, nor would if an executor were lost."""
+    for table in tables:
+        files, context = table._jdf.inputFiles(), table.sparkSession.sparkContext
+        if len(files):  # one file's name comes to the driver's Python, not all
+            folder = context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI(files[0])).getParent()
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 #: What this worker keeps between its tasks: the object of the operator that it ran last.

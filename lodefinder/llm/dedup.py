@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodefinder.llm.common import map_text, staged, tune
+from lodefinder.llm.common import drop_staged, map_text, staged, tune
 
 BANDS, ROWS, SHINGLE = 50, 5, 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -255,7 +255,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
         small, low = star(down)
         small = small.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        now = staged(contract(small.filter("a <> b").distinct().coalesce(parts)), "links")
+        before, now = now, staged(contract(small.filter("a <> b").distinct().coalesce(parts)), "links")
+        drop_staged(before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
 
 
@@ -421,10 +422,14 @@ def sketch_groups(sketched: DataFrame, known: DataFrame, percent: int = PERCENT)
             last = found.isEmpty()
         if last:
             open_rows = held.join(mixed.select("bucket"), "bucket", "left_semi").join(slots.select("rep", "n"), "rep").select("bucket", "rep", "component", "n", F.lit(0).alias("variant"))
-            found = staged(links_of_mixed(staged(open_rows, "mixed"), slots.select("rep", F.lit(0).alias("variant"), "slots"), percent), "links")
+            open_rows = staged(open_rows, "mixed")
+            found = staged(links_of_mixed(open_rows, slots.select("rep", F.lit(0).alias("variant"), "slots"), percent), "links")
+            drop_staged(open_rows)
         if not found.isEmpty():
             groups = components(groups.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
+        drop_staged(found)
         if last:
+            drop_staged(shared, slots)
             return groups
 
 
@@ -451,7 +456,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = named.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").limit(1)
     sets = staged(sets if repeated.isEmpty() else sets.dropDuplicates(["id", "variant"]), "sets")
     marks = ["n", "variant", *(f"bits{i}" for i in range(WORDS))]
-    shared = staged(shared.join(sets.select(F.col("id").alias("rep"), *marks), "variant"), "shared")
+    buckets, shared = shared, staged(shared.join(sets.select(F.col("id").alias("rep"), *marks), "variant"), "shared")
+    drop_staged(buckets, reps)
 
     def near(other: str) -> F.Column:
         """What a pair must meet to be verified, by the columns of one and those of the other, which begin with other."""
@@ -477,11 +483,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if last:
             open_rows = held.join(mixed.select("bucket"), "bucket", "left_semi").select("bucket", "rep", "component", "n", "variant")
             whole = sets.select(F.col("id").alias("rep"), "variant", "set", "slots", "bands")
-            found = staged(links_of_mixed(staged(open_rows, "mixed"), whole, percent), "links")
+            open_rows = staged(open_rows, "mixed")
+            found = staged(links_of_mixed(open_rows, whole, percent), "links")
+            drop_staged(open_rows)
         if not found.isEmpty():
             groups = components(groups.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
+        drop_staged(found)
         if last:
             break
+    drop_staged(shared, sets)  # what is returned reads the sketches and the groups
     named_groups = classes.select("key", "rep").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = base.select("id", "n_shingles", "key").join(named_groups, "key", "left")
     component = F.coalesce("component", "id")

@@ -1,6 +1,8 @@
 """Near-duplicates, top-k, quality rules, the pipeline and the registered queries."""
 
 from collections import Counter, defaultdict
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lodefinder.llm import dedup, quality, topk
 from lodefinder.llm import queries as registered
-from lodefinder.llm.common import read_table
+from lodefinder.llm.common import read_table, work_dir
 from tests.compare import connect, duck_rows, spark_rows
 from tests.llm.helpers import ROWS, no_docs, odd_docs
 
@@ -280,3 +282,14 @@ def test_pipeline_of_odd_documents(spark, sf_dir):
             assert out.columns == docs.columns
         assert stage(spark, no_docs(spark), sf_dir).count() == 0
         out.count()
+
+
+def test_rounds_leave_no_tables_behind(spark, sf_dir):
+    """What is left of a run is what its result reads: the sketches and the last groups; and the result can be read twice."""
+    place = Path(urlparse(work_dir(spark)).path)
+    before = set(place.iterdir())
+    got = dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+    first = sorted(got.collect())
+    left = sorted(p.name.rpartition("-")[0] for p in set(place.iterdir()) - before if any(p.glob("part-*")))
+    assert set(left) <= {"sketches", "links", "members"} and left.count("sketches") == 1
+    assert sorted(got.collect()) == first
