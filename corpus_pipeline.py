@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodefinder.llm import dedup, mixing, quality, toxicity, wfst
-from lodefinder.llm.common import fresh, read_table, staged
+from lodefinder.llm.common import drop_staged, fresh, read_table, staged
 
 #: Shares of tokens after mixing, and the rate of surely clean documents: a little over 1, so that they stay.
 TARGETS, ANCHOR = {"clean": 0.95, "low": 0.05}, ("clean", 1.1)
@@ -62,7 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The last stage's rows; each table between two stages is deleted once the next one is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_staged(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
