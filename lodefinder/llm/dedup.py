@@ -11,8 +11,9 @@
    these find links.
 4. What is still mixed is settled in tasks: the rows of a bucket that are not of its largest group meet all its rows,
    block by block, so no task holds more than two blocks of signatures and sets. A pair of different groups is
-   verified in the first bucket that it shares, so once, if its sizes and signatures allow the similarity. Only links
-   leave the task, one for each row and group at most, so what is made grows with the rows. No pair that shares a bucket goes unchecked, unless its classes are in one group already or too far
+   verified in the first bucket that it shares, so once, if its sizes and signatures allow the similarity. A link joins
+   its groups within the block from then on, and only the links that do so leave the task: of two blocks fewer than
+   they have rows. No pair that shares a bucket goes unchecked, unless its classes are in one group already or too far
    apart: pairs whose sizes rule out the similarity are left out, and those whose signatures differ by six standard
    deviations more than a pair of similarity 0.75 does (1 in 10^9 by the binomial distribution; SuperMinHash varies
    less): in more than FAR of the lowest bits, or agree in less than AGREE of the low bytes of all slots.
@@ -281,29 +282,41 @@ def links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links_in_block(rest: dict[str, np.ndarray], rows: dict[str, np.ndarray], bucket: int, percent: int) -> list[tuple[int, int]]:
     """Links of rows of rest with rows of other groups, verified where this bucket is the pair's first common one.
 
-    rows: their sets lie in a row in "flat", from "first" on, "n" shingles each. One link for each row and group.
-    Without sets, the share of slots that agree decides, in each bucket that a pair shares.
+    rows: their sets lie in a row in "flat", from "first" on, "n" shingles each. Groups that a link joins are one from
+    then on, so pairs within it are not looked at and there are fewer links than groups: a spanning forest of them.
+    Without sets, the share of slots that agree decides.
     """
     exact = "flat" in rows
     found, band = [], int(np.argmax(rows["bands"][0] == bucket)) if exact and len(rows["rep"]) else 0
+    named, groups = np.unique(np.concatenate([rest["component"], rows["component"]]), return_inverse=True)
+    asking, asked = np.split(groups, [len(rest["rep"])])
+
+    def link(at: int, linked: np.ndarray) -> None:
+        """One link of row at of rest to each of the groups that hold linked rows; these groups become one."""
+        joined, one = np.unique(asked[linked], return_index=True)
+        found.extend((int(rest["rep"][at]), int(rows["rep"][q])) for q in linked[one])
+        to = np.arange(len(named))
+        to[joined] = asking[at]
+        asking[:], asked[:] = to[asking], to[asked]
+
     for lo in range(0, len(rest["rep"]), 64):
         x = {k: v[lo : lo + 64] for k, v in rest.items() if k != "flat"}
         n, m = x["n"][:, None], rows["n"][None, :]
-        may = (x["component"][:, None] != rows["component"][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        may = (asking[lo : lo + 64, None] != asked[None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
         may &= ~rows["rest"][None, :] | (x["rep"][:, None] < rows["rep"][None, :])  # two of the rest meet twice
         for i in np.flatnonzero(may.any(axis=1)):
-            j = np.flatnonzero(may[i])
+            j = np.flatnonzero(may[i] & (asked != asking[lo + i]))
             if not exact:
                 j = j[100 * (x["slots"][i] == rows["slots"][j]).sum(axis=1, dtype=np.int32) >= percent * rows["slots"].shape[1]]
-                _, one = np.unique(rows["component"][j], return_index=True)
-                found += [(int(x["rep"][i]), int(rows["rep"][q])) for q in j[one]]
+                if len(j):
+                    link(lo + i, j)
                 continue
             j = j[np.bitwise_count(x["bits"][i] ^ rows["bits"][j]).sum(axis=1, dtype=np.int32) <= FAR]
             j = j[(x["slots"][i] == rows["slots"][j]).sum(axis=1, dtype=np.int32) >= AGREE]
             j = j[np.argmax(x["bands"][i] == rows["bands"][j], axis=1) == band]
             own = rest["flat"][x["first"][i] : x["first"][i] + x["n"][i]]
-            linked: set[int] = set()
             for part in np.array_split(j, -(-int(rows["n"][j].sum()) // 1_000_000) or 1):
+                part = part[asked[part] != asking[lo + i]]
                 if not len(part):
                     continue
                 size = rows["n"][part]
@@ -311,10 +324,8 @@ def links_in_block(rest: dict[str, np.ndarray], rows: dict[str, np.ndarray], buc
                 theirs = rows["flat"][np.arange(size.sum()) + np.repeat(rows["first"][part] - begin, size)]
                 at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
                 common = np.add.reduceat((own[at] == theirs).astype(np.int64), begin)
-                for q in part[100 * common >= percent * (len(own) + size - common)]:
-                    if (group := int(rows["component"][q])) not in linked:
-                        linked.add(group)
-                        found.append((int(x["rep"][i]), int(rows["rep"][q])))
+                if len(hit := part[100 * common >= percent * (len(own) + size - common)]):
+                    link(lo + i, hit)
     return found
 
 

@@ -88,6 +88,22 @@ def test_a_large_group_of_edited_copies(spark):
     assert got == want and 1 < len(set(want.values())) < 400
 
 
+@pytest.mark.parametrize("exact", [True, False])
+def test_links_of_a_block_are_a_forest(exact):
+    """Sixty groups of one row that all link with one another, and five that link with nothing: 59 links, not 1,770."""
+    rows, rng = 65, np.random.default_rng(2)
+    sets = [np.arange(100, dtype=np.uint64) + np.uint64(i % 10 if i < 60 else 1000 * i) for i in range(rows)]
+    got = {"rep": np.arange(rows), "component": np.arange(rows), "n": np.full(rows, 100), "rest": np.arange(rows) > 0, "first": 100 * np.arange(rows)}
+    got |= {"slots": np.array([np.zeros(250) if i < 60 else rng.integers(1, 255, 250) for i in range(rows)], dtype=np.uint8), "bands": np.full((rows, 50), 7)}
+    got["bits"] = dedup.bits_of(got["slots"]).view(np.uint64)
+    flat = {"flat": np.concatenate(sets)} if exact else {}
+    found = dedup.links_in_block({k: v[1:] for k, v in got.items()} | flat, got | flat, 7, 75)
+    group = list(range(rows))
+    for a, b in found:
+        group = [group[b] if g == group[a] else g for g in group]
+    assert len(found) == 59 and len(set(group[:60])) == 1 and len(set(group)) == 6
+
+
 @pytest.mark.parametrize("rounds", [1, 0])
 def test_every_text_of_a_repeated_id_has_its_links(spark, monkeypatch, rounds):
     monkeypatch.setattr(dedup, "PIVOT_ROUNDS", rounds)
