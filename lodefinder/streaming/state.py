@@ -105,7 +105,7 @@ class StatusMachine(StatefulProcessor):
 
 @contextmanager
 def rocks(spark: SparkSession):
-    """The state store that such processors need, for streams that start meanwhile."""
+    """The state store outside the heap, which state machines need, for streams that start meanwhile."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -116,9 +116,16 @@ def rocks(spark: SparkSession):
 
 
 def status_stream(acts: DataFrame, idle_ms: int | None = None) -> DataFrame:
-    """(user_id, entity_id, status) each time a status changes, from a stream of actions with user and track."""
-    keyed = acts.filter("user_id IS NOT NULL AND entity_id IS NOT NULL").select("user_id", "entity_id", "action", F.unix_micros("ts").alias("ts"), "event_id")
-    return keyed.groupBy("user_id", "entity_id").transformWithStateInPandas(StatusMachine(idle_ms), "user_id long, entity_id long, status string", "Update", "ProcessingTime" if idle_ms else "None")
+    """(user_id, entity_id, status) each time a track gets actions, from a stream of actions with user and track.
+
+    Without idle_ms it is the fold of the batch plan as a streaming aggregation: the two maxima of each track are its
+    state. With it, state expires track by track and the machine runs in Python, which costs calls for each track.
+    """
+    acts = acts.filter("user_id IS NOT NULL AND entity_id IS NOT NULL")
+    if not idle_ms:
+        return preference.statuses(acts)
+    keyed = acts.select("user_id", "entity_id", "action", F.unix_micros("ts").alias("ts"), "event_id")
+    return keyed.groupBy("user_id", "entity_id").transformWithStateInPandas(StatusMachine(idle_ms), "user_id long, entity_id long, status string", "Update", "ProcessingTime")
 
 
 def stream_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,6 +100,19 @@ def test_statuses_survive_restarts_and_repeated_batches(spark):
     assert statuses(changes.read(schema, upto=seen)) == first  # a snapshot does not move
 
 
+def test_statuses_are_folded_without_python(spark):
+    """No call of Python for each track, and an action without a time is older than any other, as in the batch plan."""
+    rows = [(1, 1, "reject", None, 1), (1, 1, "save", 5, 2), (1, 2, "analyze", None, 3), (2, 1, "seen", 1, 4), (None, 1, "save", 1, 5), (2, None, "save", 1, 6)]
+    every = spark.createDataFrame(rows, "user_id long, entity_id long, action string, t long, event_id long").withColumn("ts", F.timestamp_seconds("t"))
+    root = fresh_path(spark, "actions")
+    every.coalesce(1).write.parquet(root)
+    with state.rocks(spark):
+        made = state.status_stream(spark.readStream.schema(every.schema).parquet(root))
+        assert "InPandas" not in made._jdf.queryExecution().analyzed().toString()
+        got = statuses(state.drained(made, spark, "statuses", ["user_id", "entity_id"]))
+    assert got == statuses(preference.statuses(every.filter("user_id IS NOT NULL AND entity_id IS NOT NULL"))) == {(1, 1): "saved", (1, 2): "analyzed", (2, 1): "seen"}
+
+
 def test_counters_survive_restarts(spark):
     every, attrs = actions(spark, 200, seed=6), spark.createDataFrame([(i, "genres", "ab"[i % 2]) for i in range(10)], "entity_id long, dim string, key string")
     root, marks = fresh_path(spark, "actions"), fresh_path(spark, "marks")
