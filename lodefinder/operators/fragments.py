@@ -6,6 +6,7 @@ asked length are never decoded, so that a row's memory is bounded by it.
 
 from __future__ import annotations
 
+import functools
 import io
 import wave
 from collections.abc import Iterator
@@ -58,14 +59,21 @@ def framed(x: np.ndarray, size: int, hop: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(x, size)[::hop] * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size))
 
 
-def pitch_classes(frames: np.ndarray, rate: int, octaves: tuple[int, ...] = OCTAVES) -> np.ndarray:
-    """Twelve magnitudes for each frame: the Fourier transform at the pitches of the octaves, below half the rate."""
+@functools.lru_cache(maxsize=4)
+def waves(size: int, rate: int, octaves: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which pitches of the octaves lie below half the rate, and their cosines and sines over a frame."""
     steps = np.array([12 * (o - 4) + p - 9 for o in octaves for p in range(12)])
     frequency = 440 * 2 ** (steps / 12)
     heard = frequency < rate / 2
-    angle = 2 * np.pi * np.outer(np.arange(frames.shape[1]), frequency[heard]) / rate
-    found = np.zeros((len(frames), len(steps)))
-    found[:, heard] = np.hypot(frames @ np.cos(angle), frames @ np.sin(angle))
+    angle = 2 * np.pi * np.outer(np.arange(size), frequency[heard]) / rate
+    return heard, np.cos(angle), np.sin(angle)
+
+
+def pitch_classes(frames: np.ndarray, rate: int, octaves: tuple[int, ...] = OCTAVES) -> np.ndarray:
+    """Twelve magnitudes for each frame: the Fourier transform at the pitches of the octaves, below half the rate."""
+    heard, cosines, sines = waves(frames.shape[1], rate, octaves)
+    found = np.zeros((len(frames), len(heard)))
+    found[:, heard] = np.hypot(frames @ cosines, frames @ sines)
     return found.reshape(len(frames), len(octaves), 12).sum(axis=1)
 
 

@@ -154,6 +154,18 @@ def test_key_estimate(spark):
         assert audio.KEYS[int(np.argmax(r))] == key
 
 
+def test_a_key_reads_its_frames_once(spark):
+    """Expressions that are named twice are computed twice, and within others a thousand times: each is bound."""
+    frames = [np.random.default_rng(6).random((3, 12)).tolist(), [[0.0] * 12], None]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(frames)], "i long, heard array<array<double>>")
+    found = df.select("i", audio.key_estimate(audio.chroma_profile(F.col("heard"))).alias("k"))
+    assert found._jdf.queryExecution().analyzed().toString().splitlines()[0].count("heard") == 1
+    got = {r.i: r.k for r in found.collect()}
+    mean = np.mean(frames[0], axis=0)
+    r = [np.corrcoef(np.roll(mean, -i), t)[0, 1] for i in range(12) for t in (vocab.MAJOR, vocab.MINOR)]
+    assert tuple(got[0]) == (audio.KEYS[int(np.argmax(r))], round((max(r) + 1) / 2, 2)) and tuple(got[1]) == ("C major", 0.0) and tuple(got[2]) == ("C major", 1.0)
+
+
 def actions(spark, rows):
     return spark.createDataFrame(rows, "user_id long, entity_id long, action string, ts long, event_id long")
 
