@@ -4,11 +4,16 @@ A text's best releases are found without meeting every release that shares a wor
 rarest word that is frequent enough, and each of them scores at least what that word gives in the longest release; a
 release that holds none of the rarer words can not get there if all other words together give less. So only the
 postings of a text's rare words are read, and the result is still exact.
+
+Documents that hold the same asked words as often, in the same length, score the same for every text. They are one class,
+and of a class the n smallest ids can be among the n best, the others can not. Texts meet classes, so that a word that all
+documents share brings as many rows as there are classes, not documents.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +24,8 @@ from lodefinder.session import staged
 
 #: BM25's saturation and length parameters, and the digits to which scores count (sums of doubles have no fixed order).
 K1, B, DIGITS = 1.2, 0.75, 9
+#: Words that one task holds at a time, about: its memory does not grow with the collection.
+WORDS_A_TASK = 1 << 18
 
 
 def release_names(title: Column) -> tuple[Column, Column]:
@@ -41,6 +48,10 @@ class Index:
     mean_size: float
     longest: int
 
+    @property
+    def tasks(self) -> int:
+        return math.ceil(self.docs * self.mean_size / WORDS_A_TASK) or 1
+
     def saturation(self, tf: Column | float, size: Column | int) -> Column:
         return tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / self.mean_size))
 
@@ -50,12 +61,13 @@ class Index:
 
 def index_of(docs: DataFrame, id_col: str, text_col: Column) -> Index:
     """The inverted index of a table. Rows without words are in none of its lists."""
-    words = docs.select(F.col(id_col).alias("doc"), words_of(text_col).alias("w")).filter(F.size("w") > 0)
-    each = words.select("doc", F.size("w").alias("size"), F.explode("w").alias("term"))
+    words = staged(docs.select(F.col(id_col).alias("doc"), words_of(text_col).alias("w")), "words").filter(F.size("w") > 0)
+    whole = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"), F.max(F.size("w")).alias("longest")).first()
+    sized = Index(words, words, whole.n, whole.mean or 1.0, whole.longest or 1)
+    each = words.repartition(sized.tasks, "doc").select("doc", F.size("w").alias("size"), F.explode("w").alias("term"))
     postings = staged(each.groupBy("term", "doc", "size").agg(F.count("*").alias("tf")), "postings")
     terms = staged(postings.groupBy("term").agg(F.count("*").alias("df")), "terms")
-    whole = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"), F.max(F.size("w")).alias("longest")).first()
-    return Index(postings, terms, whole.n, whole.mean or 1.0, whole.longest or 1)
+    return replace(sized, postings=postings, terms=terms)
 
 
 def needed_terms(queries: DataFrame, index: Index, n: int) -> DataFrame:
@@ -72,15 +84,30 @@ def needed_terms(queries: DataFrame, index: Index, n: int) -> DataFrame:
     return marked.select("q", "term", "idf", (F.col("before") == 0).alias("needed"))
 
 
+def classes_of(terms: DataFrame, index: Index, n: int) -> DataFrame:
+    """(c, has, docs): the asked words, with size and tf, that some documents hold alike, and the n smallest of these (r, doc)."""
+    asked = index.postings.join(terms.select("term").distinct(), "term", "left_semi").repartition(index.tasks, "doc")
+    held = asked.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("term", "size", "tf"))).alias("has"))
+    w = Window.partitionBy("has").orderBy(F.asc_nulls_last("doc"))
+    first = held.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n)
+    return first.groupBy("has").agg(F.collect_list(F.struct("r", "doc")).alias("docs")).withColumn("c", F.monotonically_increasing_id())
+
+
 def best_documents(queries: DataFrame, index: Index, n: int = 10) -> DataFrame:
     """(q, doc, score, rank): for each distinct text q the n documents of the highest BM25 score, ties to the smaller id.
 
     Only documents that share a word with the text have a score. Texts without words have no row.
     """
     terms = staged(needed_terms(queries, index, n), "needed")
-    met = terms.filter("needed").join(index.postings, "term").select("q", "doc").distinct()
-    scored = met.join(terms.select("q", "term", "idf"), "q").join(index.postings, ["term", "doc"])
-    score = F.round(F.sum(F.col("idf") * index.saturation(F.col("tf"), F.col("size"))), DIGITS)
-    total = scored.groupBy("q", "doc").agg(score.alias("score"))
-    w = Window.partitionBy("q").orderBy(F.desc("score"), "doc")
-    return total.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    classes = staged(classes_of(terms, index, n), "classes")
+    met = terms.filter("needed").join(classes.select("c", F.explode("has.term").alias("term")), "term").select("q", "c").distinct()
+    idfs = terms.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idfs"))
+    gain = lambda p: F.coalesce(F.try_element_at("idfs", p["term"]), F.lit(0.0)) * index.saturation(p["tf"], p["size"])
+    score = F.round(F.aggregate("has", F.lit(0.0), lambda total, p: total + gain(p)), DIGITS)
+    scored = met.join(idfs, "q").join(classes, "c").select("q", "docs", score.alias("score"), F.array_min("docs")["doc"].alias("first"))
+    # n classes are enough: each of them has a document before any of a later class
+    w = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("first"))
+    best = scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
+    each = best.select("q", F.explode("docs").alias("d"), "score").select("q", "d.doc", "score")
+    w = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("doc"))
+    return each.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
