@@ -24,8 +24,9 @@ from lodefinder.session import staged
 
 #: BM25's saturation and length parameters, and the digits to which scores count (sums of doubles have no fixed order).
 K1, B, DIGITS = 1.2, 0.75, 9
-#: Words that one task holds at a time, about: its memory does not grow with the collection.
-WORDS_A_TASK = 1 << 18
+#: Words that one task counts, about, and texts in one file before they are dealt out: a task's memory does not grow with
+#: the collection.
+WORDS_A_TASK, ROWS_A_FILE = 1 << 18, 1 << 17
 
 
 def release_names(title: Column) -> tuple[Column, Column]:
@@ -34,8 +35,12 @@ def release_names(title: Column) -> tuple[Column, Column]:
     return text.trimmed(parts[0]), text.trimmed(F.coalesce(F.try_element_at(parts, F.lit(2)), title, F.lit("")))
 
 
+def split_words(folded: Column) -> Column:
+    return F.filter(F.split(folded, r"\s+"), lambda w: w != "")
+
+
 def words_of(s: Column) -> Column:
-    return F.filter(F.split(text.folded(s), r"\s+"), lambda w: w != "")
+    return split_words(text.folded(s))
 
 
 @dataclass(frozen=True)
@@ -61,10 +66,12 @@ class Index:
 
 def index_of(docs: DataFrame, id_col: str, text_col: Column) -> Index:
     """The inverted index of a table. Rows without words are in none of its lists."""
-    words = staged(docs.select(F.col(id_col).alias("doc"), words_of(text_col).alias("w")), "words").filter(F.size("w") > 0)
-    whole = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"), F.max(F.size("w")).alias("longest")).first()
-    sized = Index(words, words, whole.n, whole.mean or 1.0, whole.longest or 1)
-    each = words.repartition(sized.tasks, "doc").select("doc", F.size("w").alias("size"), F.explode("w").alias("term"))
+    folds = staged(docs.select(F.col(id_col).alias("doc"), text.folded(text_col).alias("s")), "folds", ROWS_A_FILE)
+    words = folds.select(F.size(split_words(F.col("s"))).alias("size")).filter("size > 0")
+    whole = words.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), F.max("size").alias("longest")).first()
+    sized = Index(folds, folds, whole.n, whole.mean or 1.0, whole.longest or 1)
+    words = folds.repartition(sized.tasks, "doc").select("doc", split_words(F.col("s")).alias("w"))
+    each = words.select("doc", F.size("w").alias("size"), F.explode("w").alias("term"))
     postings = staged(each.groupBy("term", "doc", "size").agg(F.count("*").alias("tf")), "postings")
     terms = staged(postings.groupBy("term").agg(F.count("*").alias("df")), "terms")
     return replace(sized, postings=postings, terms=terms)

@@ -54,10 +54,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: what reads it does not compute it again, lost executors or not."""
+def staged(df: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
+    """df written to the shared folder and read again: what reads it does not compute it again, lost executors or not.
+
+    No file has more than rows_a_file rows, if that is not 0.
+    """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("maxRecordsPerFile", rows_a_file) if rows_a_file else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

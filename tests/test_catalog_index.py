@@ -63,8 +63,9 @@ def test_alike_documents_are_one_class(spark):
 
 
 def test_odd_ids_as_in_sql(spark, monkeypatch):
-    """Ids that are null or repeat, texts that are alike, and more tasks than one."""
+    """Ids that are null or repeat, texts that are alike, more tasks than one and many files."""
     monkeypatch.setattr(catalog_index, "WORDS_A_TASK", 40)
+    monkeypatch.setattr(catalog_index, "ROWS_A_FILE", 7)
     rng = random.Random(5)
     rows = [(rng.choice([None, *range(12)] if i % 3 == 0 else range(100, 160)), " ".join(rng.choices("aaabbcde", k=rng.randint(0, 4)))) for i in range(150)]
     asked = [("a",), ("a b",), ("c d a",), ("e zz",), ("zz",)]
